@@ -8,6 +8,8 @@ from importlib import import_module
 QUERIES = {
     "op1_token_records": "token_records",
     "op5_token_counts": "token_counts",
+    "op7_quality_rules": "quality_rules",
+    "op9_jaccard_join": "jaccard_join",
     "op10_packing": "packing",
 }
 
@@ -17,4 +19,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .quality_rules import ORACLE_SQL
+
+    return {"op7_quality_rules": ORACLE_SQL}
