@@ -8,8 +8,9 @@ A file is a run of records, each framed as
     4 bytes  masked CRC-32C of the payload
 
 the framing of record files that training programs read. A payload is one document's sequence: 1 byte for the width of an
-id (2 where every id of the vocabulary fits, else 4), then the ids, little-endian. Files hold documents in ascending
-order of id; the index, a Parquet table, has each record's file, offset and length, for reads in shuffled order.
+id (2 where every id of the vocabulary fits, else 4; plus 128 where the document's id is null), 8 bytes for the document's
+id, then the token ids, all little-endian. Files hold documents in ascending order of id; the index, a Parquet table, has
+each record's file, offset and length, for reads in shuffled order.
 
 Files are written by the executors under names that no other attempt uses, and the index, which is committed by Spark,
 names only files of tasks that succeeded. So a lost executor or a second attempt leaves at most files that nothing names.
@@ -38,6 +39,7 @@ END_ID = 2
 #: Payload bytes whose checksums are computed together.
 GROUP_BYTES = 4 << 20
 HEAD = struct.Struct("<QI")
+KEY = struct.Struct("<Bq")
 
 
 def frames(payloads: list[bytes]) -> list[bytes]:
@@ -74,12 +76,14 @@ def read_frames(stream, group: int = GROUP_BYTES) -> Iterator[bytes]:
     yield from checked(heads, bodies, sums)
 
 
-def payload(ids: bytes, width: int) -> bytes:
-    return bytes([width]) + (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
+def payload(doc: int | None, ids: bytes, width: int) -> bytes:
+    head = KEY.pack(width | 128 * (doc is None), doc or 0)
+    return head + (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
 
 
-def payload_ids(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
+def payload_of(data: bytes) -> tuple[int | None, np.ndarray]:
+    kind, doc = KEY.unpack_from(data)
+    return (None if kind & 128 else doc), np.frombuffer(data, f"<u{kind & 127}", offset=KEY.size).astype("<u4")
 
 
 def write_records(
@@ -90,10 +94,10 @@ def write_records(
     Index: doc id, file, first (the file's place in the order: its smallest id), at (position in the file), offset, n_bytes,
     start_in_file, n_tokens. A null or empty text is a record of the end id alone; rows with equal ids are neighbours, in
     order of their texts, and each has a record; null ids come first; an empty table has no file. Other columns, whatever
-    their names, are not read.
+    their names, are not read. Ids are whole numbers.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     kind = rows.schema["id"].dataType
     schema = T.StructType(
@@ -116,7 +120,7 @@ def write_records(
                 payloads, counts, size, begin = [], [], 0, done
                 while done < len(keys) and size < GROUP_BYTES:
                     ids = ids_of(texts[done].as_py()) + end
-                    payloads.append(payload(ids, width))
+                    payloads.append(payload(keys[done].as_py(), ids, width))
                     counts.append(len(ids) // 4)
                     size += len(payloads[-1])
                     done += 1
@@ -155,16 +159,16 @@ def file_starts(index: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
-    """Read the files back: a row per record with file, at, start (ids of all records before it), ids (array of long).
+    """Read the files back: a row per record with id, start (ids of all records before it), n_tokens, value (the ids).
 
-    Order of rows follows the files; sort by ``start``, or join the index by (file, at).
+    Files are read side by side; within a file rows are in order. Sort by ``start`` for the order of all.
     """
     return _read(folder, index, "array<bigint>", lambda ids: ids.astype(np.int64))
 
 
 def _read(folder: str, index: DataFrame, kind: str, make) -> DataFrame:
     files = file_starts(index)
-    schema = f"file string, at bigint, start bigint, n_tokens bigint, value {kind}"
+    schema = f"id bigint, start bigint, n_tokens bigint, value {kind}"
     width = {"bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64())}[kind]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,36 +176,35 @@ def _read(folder: str, index: DataFrame, kind: str, make) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with where.open_input_stream(f"{top}/{name}") as raw:
-                    at, counts, values, size = 0, [], [], 0
+                    docs, counts, values, size = [], [], [], 0
 
                     def rows():
-                        n = len(counts)
                         ends = np.cumsum(counts)
                         return pa.RecordBatch.from_arrays(
                             [
-                                pa.array([name] * n),
-                                pa.array(np.arange(at - n, at)),
+                                pa.array(docs, pa.int64()),
                                 pa.array(start + ends - counts),
                                 pa.array(counts, pa.int64()),
                                 pa.array(values, width),
                             ],
-                            names=["file", "at", "start", "n_tokens", "value"],
+                            names=["id", "start", "n_tokens", "value"],
                         ), int(ends[-1])
 
                     for data in read_frames(io.BufferedReader(_Raw(raw), 1 << 20)):
-                        ids = payload_ids(data)
+                        doc, ids = payload_of(data)
+                        docs.append(doc)
                         counts.append(len(ids))
                         values.append(make(ids))
-                        at, size = at + 1, size + len(ids)
+                        size += len(ids)
                         if size >= 1 << 20:
                             out, n = rows()
                             yield out
-                            start, counts, values, size = start + n, [], [], 0
+                            start, docs, counts, values, size = start + n, [], [], [], 0
                     if counts:
                         yield rows()[0]
 
-    # one file a task: as many partitions as files, which the index's own count bounds
-    return files.repartition("file").mapInArrow(read, schema)
+    # dealt round robin, so that a task has a file; a number given is not coalesced
+    return files.repartition(max(1, files.count())).mapInArrow(read, schema)
 
 
 class _Raw(io.RawIOBase):
@@ -228,8 +231,7 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "records")
     index = write_records(table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
     back = _read(folder, index, "bigint", crc_of_ids)
-    named = index.select(F.col("id").alias("doc_id"), "file", "at")
-    return named.join(back, ["file", "at"]).select("doc_id", "start", "n_tokens", F.col("value").alias("ids_crc32"))
+    return back.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.col("value").alias("ids_crc32"))
 
 
 def shuffled_read(folder: str, rows: DataFrame) -> DataFrame:
@@ -245,7 +247,7 @@ def shuffled_read(folder: str, rows: DataFrame) -> DataFrame:
                 if name not in opened:
                     opened[name] = where.open_input_file(f"{top}/{name}")
                 data = opened[name].read_at(n, offset)
-                found.append(payload_ids(next(read_frames(io.BytesIO(data)))).astype(np.int64))
+                found.append(payload_of(next(read_frames(io.BytesIO(data))))[1].astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "ids"])
 
     return rows.select("id", "file", "offset", "n_bytes").mapInArrow(read, schema)

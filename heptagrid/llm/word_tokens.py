@@ -26,7 +26,8 @@ NORMALIZERS = [
     {"type": "Lowercase"},
 ]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-WORDS_KEPT = 160_000
+#: Of the last words met, so many at least and twice as many at most are kept, some 100 bytes each.
+WORDS_KEPT = 500_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -80,19 +81,14 @@ class WordEncoder:
         letters = byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x180)}
         self.model = self.library.model
-        pieces = _Recent(self._piece)
-        self.pieces = pieces
         self.words = _Recent(self._word)
         self.word = self.words.__getitem__
 
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
     def _word(self, word: str) -> bytes:
-        if word.isalpha():
-            return self.pieces[word]
-        return b"".join([self.pieces[p] for p in self.split(word)])
+        if not word.isalpha() and len(pieces := self.split(word)) > 1:
+            return b"".join([self.words[p] for p in pieces])
+        ids = [t.id for t in self.model.tokenize(word.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
