@@ -7,8 +7,11 @@ from importlib import import_module
 #: Module and function of each.
 QUERIES = {
     "op1_token_records": "token_records",
+    "op2_byte_bpe": "byte_bpe",
     "op5_token_counts": "token_counts",
+    "op6_quality_classifier": "quality_classifier",
     "op7_quality_rules": "quality_rules",
+    "op8_html_extraction": "html_extraction",
     "op9_jaccard_join": "jaccard_join",
     "op10_packing": "packing",
 }
