@@ -1,17 +1,18 @@
 """N-gram Jaccard join over count vectors in R-trees, and the components of its links.
 
 A document's set holds the 64-bit hashes of its distinct 4-word shingles. Documents with equal sets form a class, and only
-classes are joined. Tokens are hashed into GROUPS groups; the numbers of a set's tokens by group are its point. The sum of
-the coordinates' minima of two points bounds the overlap of the sets from above, and so does that of a point and the upper
-corner of an R-tree node's box for every point in it. What survives is verified on the sets.
+classes are joined. Tokens are hashed into groups, about one for two tokens, and the numbers of a set's tokens by group are
+its point. The sum of the coordinates' minima of two points bounds the overlap of the sets from above, and so does that of
+a point and the upper corner of an R-tree node's box for every point in it. What survives is verified on the sets.
 
 The forest is sharded by prefix tokens. In one order of all tokens, two sets that link share a token among the first
 ``n - ceil(0.85 n) + 1`` of each; tokens found to be frequent come last in that order, so a passage that many documents
-share seldom leads two of them into one shard. The order decides the amount of work only: the join is exact.
+share seldom leads two of them into one shard. The order decides the amount of work only: the join is exact. Classes that
+share a token form a shard with the smallest of them, the pivot; shards with the same pivot are taken as one block.
 
-A shard is first joined as a star, every class with the smallest; a shard whose classes are one component after that needs
-no more. So a group of copies costs a verification or a few per class, and never all its pairs. In the shards that remain,
-R-trees over leaves of bounded size give the pairs of different components that the bound doesn't rule out.
+First every class is verified against its smallest pivot, which links most copies. Blocks whose classes are one component
+after that need no more; so a group of copies costs a verification or a few per class, and never all its pairs. In the
+blocks that remain, R-trees over leaves of bounded size give the pairs of different components that the bound lets through.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ from .components import components
 
 WORDS = 4
 PERCENT = 85
+#: The least number of groups; there are as many more, a power of two, as leave at most two tokens to a group.
 GROUPS = 64
 NODE = 16
-#: Classes of a shard that a task joins at once with as many others.
+#: Classes of a block that a task joins at once with as many others.
 LEAF = 1024
 #: Tokens that were met so often, by counts over whole partitions, come last in the order; so many at most are sent out.
 FREQUENT = 50
@@ -61,9 +63,25 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     n, k = len(h), min(words, len(h))
     total = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
-        total += _mix(h[i : n - k + 1 + i] + np.uint64(i)) * MULTIPLIERS[i % 4]
-        total = _mix(total)
-    return np.unique(total)
+        total += h[i : n - k + 1 + i] * MULTIPLIERS[i % 4]
+    total = np.sort(_mix(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+
+def groups_of(n: int) -> int:
+    return max(GROUPS, 1 << (-(-n // 2) - 1).bit_length())
+
+
+def point_of(tokens: np.ndarray) -> np.ndarray:
+    """Numbers of tokens by group. A group of over 255 tokens, if ever there is one, lets everything through."""
+    m = groups_of(len(tokens))
+    counts = np.bincount((tokens >> np.uint64(7)) & np.uint64(m - 1), minlength=m)
+    return (counts if counts.max() < 256 else np.full(m, 255)).astype(np.uint8)
+
+
+def folded(points: np.ndarray, m: int) -> np.ndarray:
+    """Points of more groups as points of m: groups that are one modulo m are added up."""
+    return points.reshape(len(points), -1, m).sum(1, dtype=np.int32)
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -128,7 +146,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFram
                 first = len(tokens) + (-percent * len(tokens) // 100) + 1
                 order = np.concatenate([tokens[~late], tokens[late]]) if late.any() else tokens
                 prefixes.append(order[:first].view(np.int64))
-                points.append(np.bincount((tokens >> np.uint64(7)) % np.uint64(GROUPS), minlength=GROUPS).astype("<i4").tobytes())
+                points.append(point_of(tokens).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(points, pa.binary())],
                 names=["id", "n", "class", "prefix", "point"],
@@ -138,8 +156,11 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFram
     return docs.mapInArrow(sign, f"id {kind}, n bigint, class bigint, prefix array<bigint>, point binary")
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, GROUPS)
+def most_shared(x: bytes, y: bytes) -> int:
+    """The bound of the overlap of two sets, by their points."""
+    m = min(len(x), len(y))
+    x, y = (folded(np.frombuffer(v, np.uint8)[None], m)[0] for v in (x, y))
+    return int(np.minimum(x, y).sum())
 
 
 def _within_bound(pairs: DataFrame, percent: int) -> DataFrame:
@@ -147,11 +168,12 @@ def _within_bound(pairs: DataFrame, percent: int) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                na, nb = (batch.column(k).to_numpy() for k in (2, 3))
-                most = np.minimum(_points(batch.column(4)), _points(batch.column(5))).sum(1)
-                kept = pa.array(most >= needed(na + nb, percent))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+            na, nb = (batch.column(k).to_numpy() for k in (2, 3))
+            alike = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            least = needed(na + nb, percent)
+            kept = [ok and most_shared(x.as_py(), y.as_py()) >= k for ok, k, x, y in zip(alike.tolist(), least.tolist(), batch.column(4), batch.column(5))]
+            kept = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
     return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a bigint, b bigint")
 
@@ -183,26 +205,27 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (_mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b of classes whose sets link. Sets are made again from the texts, of the classes in pairs alone."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(_filter_of(pairs.select(F.explode(F.array("a", "b"))).distinct()))
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b of classes whose sets link. Sets are made again from the texts, of the classes in pairs alone: a
+    document of each is known, and the scan makes the sets of the documents whose hashed id is in a bit map."""
+    spark = rows.sparkSession
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    keys = classes.join(wanted, "class").select(F.xxhash64("id").alias("key"))
+    sent = spark.sparkContext.broadcast(_filter_of(keys))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
+            slot, texts = _slots(batch.column(0).to_numpy()), batch.column(1)
             known, data = [], []
-            for text in batch.column(1):
-                tokens = shingles(text.as_py())
+            for k in np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist():
+                tokens = shingles(texts[k].as_py())
                 if len(tokens):
                     known.append(class_of(tokens))
                     data.append(tokens.tobytes())
-            known = np.array(known, np.int64)
-            slot = _slots(known)
-            wanted = pa.array((bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).astype(bool))
-            yield pa.RecordBatch.from_arrays([pa.array(known).filter(wanted), pa.array(data, pa.binary()).filter(wanted)], names=["class", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(data, pa.binary())], names=["class", "tokens"])
 
-    found = docs.mapInArrow(sets, "class bigint, tokens binary")
+    found = rows.select(F.xxhash64("id"), "text").mapInArrow(sets, "class bigint, tokens binary")
     found = found.groupBy("class").agg(F.first("tokens").alias("tokens"))  # copies meet on the map side
     found = staged(found, "sets")
     joined = pairs.join(found.toDF("a", "ta"), "a").join(found.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
@@ -226,8 +249,7 @@ class RTree:
 
     def __init__(self, n: np.ndarray, points: np.ndarray):
         self.order = np.lexsort((points.argmax(1), n))
-        self.n, self.points = n[self.order], points[self.order]
-        self.levels = [(self.points, self.n)]
+        self.levels = [(points[self.order], n[self.order])]
         while len(self.levels[-1][0]) > NODE:
             upper, least = self.levels[-1]
             starts = np.arange(0, len(upper), NODE)
@@ -238,7 +260,7 @@ class RTree:
         at = np.arange(len(self.levels[-1][0]))
         for k in range(len(self.levels) - 1, -1, -1):
             upper, least = self.levels[k]
-            most = np.minimum(upper[at], point).sum(1)
+            most = np.minimum(upper[at], point).sum(1, dtype=np.int64)
             at = at[most >= needed(n + least[at], percent)]
             if k:
                 below = len(self.levels[k - 1][0])
@@ -247,37 +269,67 @@ class RTree:
         return self.order[at]
 
 
+def block_pairs(classes: np.ndarray, label: np.ndarray, n: np.ndarray, points: list[bytes], left: np.ndarray, right: np.ndarray, percent: int):
+    """Pairs of a class on the left and one on the right, of different labels, within the bound; in either order."""
+    out = []
+    sizes = np.array([len(p) for p in points])
+    for m in np.unique(sizes[right]).tolist():
+        own = np.flatnonzero(right & (sizes == m))
+        tree = RTree(n[own], np.frombuffer(b"".join(points[k] for k in own), np.uint8).reshape(-1, m).astype(np.int32))
+        # sets that link differ little in size, so by a factor of two in groups at most, or of some more at a low percent
+        ratio = 1
+        while ratio * percent <= 400:
+            for k in np.flatnonzero(left & (sizes == m * ratio)).tolist():
+                hits = own[tree.search(int(n[k]), folded(np.frombuffer(points[k], np.uint8)[None], m)[0], percent)]
+                out += [(classes[k], c) for c in classes[hits[label[hits] != label[k]]].tolist()]
+            ratio *= 2
+    return out
+
+
 def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within shards that the bound lets through. members: token, class, label, n, point.
+    """Pairs of different components within blocks that the bound lets through. members: pivot, class, label, n, point.
 
-    A shard is cut into leaves of some LEAF classes; a task gets two leaves, so a class goes to as many tasks as its shard
-    has leaves, and no task gets more than two leaves, however large the shard is.
+    A block is cut into leaves of some LEAF classes; a task works on two leaves at a time, so a class is sent as often as
+    its block has leaves, and no step holds more than two leaves, however large the block is.
     """
-    size = members.groupBy("token").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("leaves"))
-    dealt = members.join(size, "token").withColumn("leaf", F.pmod(F.xxhash64("class"), "leaves").cast("int"))
+    size = members.groupBy("pivot").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("leaves"))
+    dealt = members.join(size, "pivot").withColumn("leaf", F.pmod(F.xxhash64("class"), "leaves").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("leaves") - 1))
     dealt = dealt.withColumn("other", other).select(
-        "token", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "class", "label", "n", "point"
+        "pivot", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "leaf", "class", "label", "n", "point"
     )
+    dealt = dealt.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+
+    def step(rows: list) -> list:
+        key, leaf, classes, label, n, points = zip(*rows)
+        label = np.array(label)
+        if (label == label[0]).all():
+            return []
+        leaf, (_, i, j) = np.array(leaf), key[0]
+        found = block_pairs(np.array(classes), label, np.array(n), points, leaf == i, leaf == j, percent)
+        if i != j:  # points of more groups look for points of fewer, so both ways are tried
+            found += block_pairs(np.array(classes), label, np.array(n), points, leaf == j, leaf == i, percent)
+        return found
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found):
+            pairs = sorted({(min(p), max(p)) for p in found})
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        rows, found = [], []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(zip(*columns[:3]), *columns[3:]):
+                if rows and rows[0][0] != row[0]:
+                    found += step(rows)
+                    rows = []
+                    if len(found) > 100_000:
+                        yield out(found)
+                        found = []
+                rows.append(row)
+        yield out(found + (step(rows) if rows else []))
 
-    def join(t: pa.Table) -> pa.Table:
-        i, j, leaf, classes, label, n = (t.column(k).to_numpy() for k in ("i", "j", "leaf", "class", "label", "n"))
-        points = _points(t.column("point").combine_chunks())
-        a, b = [], []
-        left, right = np.flatnonzero(leaf == i[0]), np.flatnonzero(leaf == j[0])
-        if len(np.unique(label)) > 1:
-            tree = RTree(n[right], points[right])
-            for k in left.tolist():
-                hits = right[tree.search(int(n[k]), points[k], percent)]
-                hits = hits[label[hits] != label[k]]
-                if i[0] == j[0]:
-                    hits = hits[classes[hits] > classes[k]]
-                a += [int(classes[k])] * len(hits)
-                b += classes[hits].tolist()
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return dealt.groupBy("token", "i", "j").applyInArrow(join, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(join, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(
@@ -300,19 +352,23 @@ def jaccard_components(
     classes = staged(classes, "classes")
     tokens = classes.select("class", F.explode("prefix").alias("token"))
     shards = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("class").alias("pivot")).where("size > 1")
-    members = staged(tokens.join(shards, "token").select("token", "class", "pivot"), "members")
+    blocks = tokens.join(shards, "token").where("class <> pivot").select("class", "pivot").distinct()
+    blocks = staged(blocks, "blocks")
     points = classes.select("class", "n", "point")
 
-    stars = members.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    stars = blocks.groupBy("class").agg(F.min("pivot").alias("b")).toDF("a", "b")
     stars = stars.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
-    links = staged(_verified(rows, staged(_within_bound(stars, percent), "stars"), percent), "links")
-    labels = components(links)
-
-    labelled = members.select("token", "class").join(labels.toDF("class", "label"), "class", "left")
-    labelled = labelled.select("token", "class", F.coalesce("label", "class").alias("label"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    more = staged(_tree_pairs(labelled.join(mixed, "token").join(points, "class"), percent), "pairs")
-    links = links.union(_verified(rows, more, percent))
+    stars = staged(_within_bound(stars, percent), "stars")
+    links = staged(_verified(rows, classes, stars, percent), "links")
+    labels = staged(components(links), "labels")
+
+    members = blocks.union(blocks.select("pivot", "pivot").distinct()).join(labels.toDF("class", "label"), "class", "left")
+    members = members.select("pivot", "class", F.coalesce("label", "class").alias("label"))
+    mixed = members.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("pivot")
+    more = _tree_pairs(members.join(mixed, "pivot").join(points, "class"), percent)
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = staged(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(_verified(rows, classes, more, percent))
     labels = staged(components(links), "labels")
 
     named = classes.select("class", "id").join(labels.toDF("class", "label"), "class", "left")

@@ -88,8 +88,8 @@ def test_empty_and_one_of_each(spark):
 
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(0)
-    points = rng.poisson(3, (300, j.GROUPS)).astype("<i4")
-    points[150:] = points[:150] + (rng.random((150, j.GROUPS)) < 0.05)
+    points = rng.poisson(3, (300, 64))
+    points[150:] = points[:150] + (rng.random((150, 64)) < 0.05)
     n = points.sum(1)
     tree = j.RTree(n, points)
     for k in range(300):
@@ -97,6 +97,16 @@ def test_tree_finds_what_a_scan_finds():
         assert sorted(tree.search(int(n[k]), points[k], 85)) == want.tolist()
 
 
+def test_bound_is_never_below_the_overlap():
+    rng = np.random.default_rng(1)
+    every = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
+    sets = [np.sort(rng.choice(every, n, replace=False)) for n in (1, 60, 130, 150, 260, 300, 2000, 2300)]
+    for x, y in itertools.product(sets, sets):
+        overlap = len(np.intersect1d(x, y))
+        assert overlap <= j.most_shared(j.point_of(x).tobytes(), j.point_of(y).tobytes()) <= min(len(x), len(y))
+    assert [j.groups_of(n) for n in (1, 128, 129, 256, 257, 5000)] == [64, 64, 128, 128, 256, 4096]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200), (200, 400), (7, 7), (500, 500)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
