@@ -8,6 +8,7 @@ from importlib import import_module
 QUERIES = {
     "op1_token_records": "token_records",
     "op2_byte_bpe": "byte_bpe",
+    "op3_url_filters": "url_filters",
     "op4_fingerprints": "fingerprints",
     "op5_token_counts": "token_counts",
     "op6_quality_classifier": "quality_classifier",
