@@ -4,9 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heptagrid.llm.common import staged, table
+from heptagrid.llm.common import staged, table, tokenizer_path
+from heptagrid.llm.jaccard_join import one_of_each
+from heptagrid.llm.packing import pack
+from heptagrid.llm.quality_classifier import keep_predicted, train
+from heptagrid.llm.quality_rules import keep_quality
 
-STAGES: list = []
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return keep_quality(docs)
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled ones of those given, predicts to be good."""
+    return keep_predicted(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links join, the one with the smallest id."""
+    return one_of_each(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 4096 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("jaccard_join", near_duplicates),
+    ("packing", packing),
+]
 #: A trained classifier can't be expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 

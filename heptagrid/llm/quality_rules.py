@@ -73,6 +73,11 @@ def _size(c: Column) -> Column:
     return F.size(c).cast("long")
 
 
+def _once(c: Column) -> Column:
+    """Keeps a filter above from being pushed below, where a lambda would compute the column anew for every element."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def counts(rows: DataFrame) -> DataFrame:
     """From columns id and text: id, then COUNTS. What a lambda reads is a column of the step before, computed once."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -80,7 +85,7 @@ def counts(rows: DataFrame) -> DataFrame:
     words = rows.select(
         "id",
         text.alias("text"),
-        F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WHITE}]+")).alias("words"),
+        _once(F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{WHITE}]+"))).alias("words"),
         F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("lines"),
     )
     word = lambda i: F.get("words", i)
@@ -96,17 +101,17 @@ def counts(rows: DataFrame) -> DataFrame:
         _size(F.col("lines")).alias("n_lines"),
         _size(F.filter("lines", lambda x: start(x).isin("*", "-", "•"))).alias("n_bullet_lines"),
         _size(F.filter("lines", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).alias("n_cut_lines"),
-        F.sort_array(F.slice(windows, F.lit(1), F.greatest(F.size("words") - 2, F.lit(0)))).alias("windows"),
+        _once(F.sort_array(F.slice(windows, F.lit(1), F.greatest(F.size("words") - 2, F.lit(0))))).alias("windows"),
     )
     h = lambda k: F.get("windows", k)["h"]
     twin = lambda x, k: x["h"].eqNullSafe(h(k - 1)) | x["h"].eqNullSafe(h(k + 1))
     found = sized.select(
         "*",
-        F.sort_array(F.transform(F.filter("windows", twin), lambda x: x["i"])).alias("twins"),
+        _once(F.sort_array(F.transform(F.filter("windows", twin), lambda x: x["i"]))).alias("twins"),
     )
     # windows that overlap share words: each adds as many as it is ahead of the next, three at most
     step = lambda p, k: F.least(F.lit(3), F.coalesce(F.get("twins", k + 1) - p, F.lit(3)))
-    steps = found.select("*", F.transform("twins", step).alias("steps"))
+    steps = found.select("*", _once(F.transform("twins", step)).alias("steps"))
     repeated = F.aggregate("steps", F.lit(0).cast("long"), lambda a, x: a + x)
     return steps.select("id", *[repeated.alias(c) if c == "n_repeat_words" else F.col(c) for c in COUNTS])
 
