@@ -10,9 +10,11 @@ The forest is sharded by prefix tokens. In one order of all tokens, two sets tha
 share seldom leads two of them into one shard. The order decides the amount of work only: the join is exact. Classes that
 share a token form a shard with the smallest of them, the pivot; shards with the same pivot are taken as one block.
 
-First every class is verified against its smallest pivot, which links most copies. Blocks whose classes are one component
-after that need no more; so a group of copies costs a verification or a few per class, and never all its pairs. In the
-blocks that remain, R-trees over leaves of bounded size give the pairs of different components that the bound lets through.
+A shard of two classes is a pair, which the places of the shared token in their orders may rule out at once. Else every
+class is first verified against its smallest pivot, which links most copies. Blocks whose classes are one component after
+that need no more. In the others, R-trees over leaves of bounded size find for each class the BEST nearest of other
+components, by the bound; these are verified, and components joined. Last, all pairs of different components that the bound
+lets through are verified. So a group of copies costs some verifications per class, and not all its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -36,6 +38,8 @@ GROUPS = 64
 NODE = 16
 #: Classes of a block that a task joins at once with as many others.
 LEAF = 1024
+#: Nearest classes of other components that a class is verified against before all that are left.
+BEST = 4
 #: Tokens that were met so often, by counts over whole partitions, come last in the order; so many at most are sent out.
 FREQUENT = 50
 FREQUENT_KEPT = 200_000
@@ -257,20 +261,26 @@ class RTree:
 
     def search(self, n: int, point: np.ndarray, percent: int) -> np.ndarray:
         """Places, in the order given, of points whose sum of minima with this one reaches the overlap needed."""
+        return self.near(n, point, percent)[0]
+
+    def near(self, n: int, point: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same, and by how much the sums are over what is needed."""
         at = np.arange(len(self.levels[-1][0]))
         for k in range(len(self.levels) - 1, -1, -1):
             upper, least = self.levels[k]
             most = np.minimum(upper[at], point).sum(1, dtype=np.int64)
-            at = at[most >= needed(n + least[at], percent)]
+            over = most - needed(n + least[at], percent)
+            at, over = at[over >= 0], over[over >= 0]
             if k:
                 below = len(self.levels[k - 1][0])
                 at = (at[:, None] * NODE + np.arange(NODE)).ravel()
                 at = at[at < below]
-        return self.order[at]
+        return self.order[at], over
 
 
-def block_pairs(classes: np.ndarray, label: np.ndarray, n: np.ndarray, points: list[bytes], left: np.ndarray, right: np.ndarray, percent: int):
-    """Pairs of a class on the left and one on the right, of different labels, within the bound; in either order."""
+def block_pairs(classes: np.ndarray, label: np.ndarray, n: np.ndarray, points: list[bytes], left: np.ndarray, right: np.ndarray, percent: int, best: int = 0):
+    """Pairs of a class on the left and one on the right, of different labels, within the bound; in either order. best: no
+    more than so many for a class on the left, those furthest within the bound."""
     out = []
     sizes = np.array([len(p) for p in points])
     for m in np.unique(sizes[right]).tolist():
@@ -280,13 +290,18 @@ def block_pairs(classes: np.ndarray, label: np.ndarray, n: np.ndarray, points: l
         ratio = 1
         while ratio * percent <= 400:
             for k in np.flatnonzero(left & (sizes == m * ratio)).tolist():
-                hits = own[tree.search(int(n[k]), folded(np.frombuffer(points[k], np.uint8)[None], m)[0], percent)]
-                out += [(classes[k], c) for c in classes[hits[label[hits] != label[k]]].tolist()]
+                places, over = tree.near(int(n[k]), folded(np.frombuffer(points[k], np.uint8)[None], m)[0], percent)
+                hits = own[places]
+                apart = label[hits] != label[k]
+                hits, over = hits[apart], over[apart]
+                if best:
+                    hits = hits[np.argsort(-over / n[hits], kind="stable")[:best]]
+                out += [(classes[k], c) for c in classes[hits].tolist()]
             ratio *= 2
     return out
 
 
-def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, percent: int, best: int) -> DataFrame:
     """Pairs of different components within blocks that the bound lets through. members: pivot, class, label, n, point.
 
     A block is cut into leaves of some LEAF classes; a task works on two leaves at a time, so a class is sent as often as
@@ -306,9 +321,9 @@ def _tree_pairs(members: DataFrame, percent: int) -> DataFrame:
         if (label == label[0]).all():
             return []
         leaf, (_, i, j) = np.array(leaf), key[0]
-        found = block_pairs(np.array(classes), label, np.array(n), points, leaf == i, leaf == j, percent)
+        found = block_pairs(np.array(classes), label, np.array(n), points, leaf == i, leaf == j, percent, best)
         if i != j:  # points of more groups look for points of fewer, so both ways are tried
-            found += block_pairs(np.array(classes), label, np.array(n), points, leaf == j, leaf == i, percent)
+            found += block_pairs(np.array(classes), label, np.array(n), points, leaf == j, leaf == i, percent, best)
         return found
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,26 +365,53 @@ def jaccard_components(
         .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
     )
     classes = staged(classes, "classes")
-    tokens = classes.select("class", F.explode("prefix").alias("token"))
-    shards = tokens.groupBy("token").agg(F.count("*").alias("size"), F.min("class").alias("pivot")).where("size > 1")
-    blocks = tokens.join(shards, "token").where("class <> pivot").select("class", "pivot").distinct()
+    tokens = classes.select("class", "n", F.posexplode("prefix").alias("place", "token"))
+    # one exchange by token; what a shard's classes have at most in common from the shared token on rules out pairs
+    by_token = Window.partitionBy("token")
+    shared = tokens.select(
+        "class", "n", F.count("*").over(by_token).alias("size"), F.min("class").over(by_token).alias("pivot"),
+        F.min(F.col("n") - F.col("place")).over(by_token).alias("rest"), F.sum("n").over(by_token).alias("both"),
+        F.min("n").over(by_token).alias("least"), F.max("n").over(by_token).alias("most"),
+    )
+    shared = shared.where("size > 1 AND class <> pivot")
+    fits = (F.col("rest") * (100 + percent) >= F.col("both") * percent) & (F.col("least") * 100 >= F.col("most") * percent)
+    blocks = shared.where((F.col("size") > 2) | fits).groupBy("class", "pivot").agg(F.max("size").alias("size"))
     blocks = staged(blocks, "blocks")
     points = classes.select("class", "n", "point")
 
-    stars = blocks.groupBy("class").agg(F.min("pivot").alias("b")).toDF("a", "b")
-    stars = stars.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
-    stars = staged(_within_bound(stars, percent), "stars")
-    links = staged(_verified(rows, classes, stars, percent), "links")
-    labels = staged(components(links), "labels")
-
-    members = blocks.union(blocks.select("pivot", "pivot").distinct()).join(labels.toDF("class", "label"), "class", "left")
-    members = members.select("pivot", "class", F.coalesce("label", "class").alias("label"))
-    mixed = members.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("pivot")
-    more = _tree_pairs(members.join(mixed, "pivot").join(points, "class"), percent)
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(_verified(rows, classes, more, percent))
-    labels = staged(components(links), "labels")
+    def bounded(pairs: DataFrame, tag: str) -> DataFrame:
+        pairs = pairs.join(points.toDF("a", "na", "pa"), "a").join(points.toDF("b", "nb", "pb"), "b")
+        return staged(_within_bound(pairs, percent), tag)
+
+    def joined(links: DataFrame) -> DataFrame:
+        return staged(components(links), "labels")
+
+    def labelled(df: DataFrame, column: str) -> DataFrame:
+        df = df.join(labels.toDF(column, "found"), column, "left")
+        return df.withColumn(f"{column}_label", F.coalesce("found", column)).drop("found")
+
+    def from_trees(best: int) -> DataFrame:
+        larger = blocks.where("size > 2").select("pivot", "class")
+        members = labelled(larger.union(larger.select("pivot", "pivot").distinct()), "class").withColumnRenamed("class_label", "label")
+        mixed = members.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("pivot")
+        return _tree_pairs(members.join(mixed, "pivot").join(points, "class"), percent, best)
+
+    def new(pairs: DataFrame, tag: str) -> DataFrame:
+        return staged(pairs.join(tried, ["a", "b"], "left_anti"), tag)
+
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = bounded(blocks.groupBy("class").agg(F.min("pivot").alias("b")).toDF("a", "b").select(*ordered), "stars")
+    links = staged(_verified(rows, classes, tried, percent), "links")
+    labels = joined(links)
+
+    direct = labelled(labelled(blocks.toDF("a", "b", "size").where("size = 2"), "a"), "b").where("a_label <> b_label")
+    more = new(bounded(direct.select(*ordered).distinct(), "direct").union(from_trees(BEST)).distinct(), "nearest")
+    links = links.union(staged(_verified(rows, classes, more, percent), "links"))
+    tried, labels = tried.union(more), joined(links)
+
+    rest = new(from_trees(0), "rest")
+    links = links.union(_verified(rows, classes, rest, percent))
+    labels = joined(links)
 
     named = classes.select("class", "id").join(labels.toDF("class", "label"), "class", "left")
     named = named.select("class", "id", F.coalesce("label", "class").alias("label"))
