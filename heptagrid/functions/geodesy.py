@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,9 +35,6 @@ def circular_mean_std(degrees: Column) -> tuple[Column, Column]:
 def geodesic_struct(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     """distance (m) and azimuth (degrees) on WGS84, by Vincenty's inverse method, with a fixed number of rounds, in an Arrow
     UDF; null in, null out; nearly opposite points, where the method doesn't settle, give null."""
-    import numpy as np
-    import pyarrow as pa
-
     @F.arrow_udf("struct<distance: double, azimuth: double>")
     def inverse(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
         x1, y1, x2, y2 = (np.radians(v.cast(pa.float64()).to_numpy(zero_copy_only=False)) for v in (a, b, c, d))
@@ -48,8 +47,6 @@ def geodesic_struct(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
 
 def vincenty(x1, y1, x2, y2):
     """Arrays of radians -> metres and degrees (0 up to 360)."""
-    import numpy as np
-
     b = A * (1 - FLAT)
     u1, u2 = np.arctan((1 - FLAT) * np.tan(y1)), np.arctan((1 - FLAT) * np.tan(y2))
     s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
