@@ -366,15 +366,21 @@ def jaccard_components(
     )
     classes = staged(classes, "classes")
     tokens = classes.select("class", "n", F.posexplode("prefix").alias("place", "token"))
-    # one exchange by token; what a shard's classes have at most in common from the shared token on rules out pairs
-    by_token = Window.partitionBy("token")
-    shared = tokens.select(
-        "class", "n", F.count("*").over(by_token).alias("size"), F.min("class").over(by_token).alias("pivot"),
-        F.min(F.col("n") - F.col("place")).over(by_token).alias("rest"), F.sum("n").over(by_token).alias("both"),
-        F.min("n").over(by_token).alias("least"), F.max("n").over(by_token).alias("most"),
+    # One exchange by token. A class stays in a shard if the next by size, either way, can link with it: sizes have to be
+    # alike, and what it has from the shared token on has to hold the overlap needed. Twice, as those that go thin shards out.
+    shared, by_size = tokens, Window.partitionBy("token").orderBy("n")
+    for _ in range(2):
+        shared = shared.withColumns({"up": F.lead("n").over(by_size), "down": F.lag("n").over(by_size)})
+        rest = (F.col("n") - F.col("place")) * (100 + percent) >= (F.col("n") + F.col("up")) * percent
+        up = F.coalesce((F.col("n") * 100 >= F.col("up") * percent) & rest, F.lit(False))
+        shared = shared.where(up | F.coalesce(F.col("down") * 100 >= F.col("n") * percent, F.lit(False))).drop("up", "down")
+    all_of = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    shared = shared.select(
+        "class", F.count("*").over(all_of).alias("size"), F.min("class").over(all_of).alias("pivot"),
+        F.min(F.col("n") - F.col("place")).over(all_of).alias("rest"), F.sum("n").over(all_of).alias("both"),
     )
-    shared = shared.where("size > 1 AND class <> pivot")
-    fits = (F.col("rest") * (100 + percent) >= F.col("both") * percent) & (F.col("least") * 100 >= F.col("most") * percent)
+    fits = F.col("rest") * (100 + percent) >= F.col("both") * percent
+    shared = shared.where((F.col("size") > 1) & (F.col("class") != F.col("pivot")))
     blocks = shared.where((F.col("size") > 2) | fits).groupBy("class", "pivot").agg(F.max("size").alias("size"))
     blocks = staged(blocks, "blocks")
     points = classes.select("class", "n", "point")
