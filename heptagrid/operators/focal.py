@@ -34,11 +34,11 @@ def distortion_model(lookup: DataFrame, parent: str = "parent") -> DataFrame:
 
 def with_distances(df: DataFrame, level: int, model: DataFrame | None = None, cell: str = "cell") -> DataFrame:
     """Adds d_k, d_j, d_i: the level's centroid distance, times the weights of the cell's ancestor at level 4, or 1 where the
-    model has none. The model's rows are bounded by the number of level 4 cells."""
+    model has none. The model has a row a parent, so no more than there are cells of level 4: 24,012."""
     base = stats.cls_m(level) * stats.CENTROID_FACTOR
     if model is None:
         return df.withColumns({f"d_{a}": F.lit(base) for a in AXES})
-    joined = df.withColumn("parent", codec.parent_at(F.col(cell), PARENT_LEVEL)).join(F.broadcast(model), "parent", "left")
+    joined = df.withColumn("parent", codec.parent_at(F.col(cell), PARENT_LEVEL)).join(F.broadcast(model.dropDuplicates(["parent"])), "parent", "left")
     return joined.withColumns({f"d_{a}": F.lit(base) * F.coalesce(f"w_{a}", F.lit(1.0)) for a in AXES}).drop("parent", "w_k", "w_j", "w_i")
 
 

@@ -9,32 +9,49 @@ from pyspark.sql import functions as F
 BUCKET = 7**5
 
 
-def _bucket(c: Column) -> Column:
-    return F.call_function("div", c, F.lit(BUCKET).cast("long"))
+def _bucket(c: Column, size: int | None = None) -> Column:
+    return F.call_function("div", c, F.lit(size or BUCKET).cast("long"))
 
 
 def _islands(df: DataFrame, over: list) -> DataFrame:
     """Merge start, end rows that follow one another within the windows' partitions."""
     w = Window.partitionBy(*over).orderBy("start", "end")
     gap = F.coalesce((F.col("start") != F.lag("end").over(w) + 1).cast("int"), F.lit(1))
-    df = df.withColumn("gap", gap).withColumn("island", F.sum("gap").over(w))
-    return df.groupBy(*over, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    df = df.withColumn("gap", gap).withColumn("island", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.groupBy(*over, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select("start", "end")
 
 
 def find_ranges(df: DataFrame, mono: str = "mono") -> DataFrame:
     """start, end of every run of consecutive numbers; both inclusive. A number that comes twice begins a new range.
 
-    Runs are found bucket by bucket, and only the runs are put together across buckets: the second window goes over ranges.
+    Runs are found bucket by bucket. Only those that touch an end of their bucket can go on in the next, and are put
+    together in buckets of buckets; what goes over all of them then is two rows a bucket of the largest kind at most.
     """
-    rows = df.select(F.col(mono).alias("start"), F.col(mono).alias("end")).dropna().withColumn("bucket", _bucket(F.col("start")))
-    return _islands(_islands(rows, ["bucket"]), []).select("start", "end")
+    left = df.select(F.col(mono).alias("start"), F.col(mono).alias("end")).dropna()
+    size, done = BUCKET, []
+    for _ in range(3):
+        runs = _islands(left.withColumn("bucket", _bucket(F.col("start"), size)), ["bucket"])
+        at_end = (F.pmod("start", F.lit(size)) == 0) | (F.pmod("end", F.lit(size)) == size - 1)
+        done.append(runs.where(~at_end))
+        left, size = runs.where(at_end), size * BUCKET
+    found = _islands(left, [])
+    for runs in done:
+        found = found.union(runs)
+    return found
 
 
 def range_offsets(ranges: DataFrame) -> DataFrame:
-    """Adds n, the numbers in a range, and offset, those in all ranges before it."""
-    before = Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    sized = ranges.withColumn("n", F.col("end") - F.col("start") + 1)
-    return sized.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+    """Adds n, the numbers in a range, and offset, those in all ranges before it.
+
+    Sums run within buckets, and over the buckets' sums; only these meet in one place.
+    """
+    sized = ranges.withColumn("n", F.col("end") - F.col("start") + 1).withColumn("bucket", _bucket(F.col("start"), BUCKET**2))
+    before = lambda *over: Window.partitionBy(*over).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy("bucket").agg(F.sum("n").alias("all"))
+    bases = sums.select("bucket", F.coalesce(F.sum("all").over(before().orderBy("bucket")), F.lit(0)).alias("base"))
+    inner = F.coalesce(F.sum("n").over(before("bucket").orderBy("start", "end")), F.lit(0))
+    placed = sized.withColumn("inner", inner).join(bases, "bucket")
+    return placed.select(*ranges.columns, "n", (F.col("base") + F.col("inner")).cast("long").alias("offset"))
 
 
 def expand_ranges(ranges: DataFrame, out: str = "mono") -> DataFrame:

@@ -191,7 +191,7 @@ def test_slope_against_a_loop_and_partitions(spark):
 def test_dominance_and_metrics(spark):
     rows = [(5.2, 0.5, 5.5, 0.6, 5.0, 0.4), (3.1, 0.4, 2.9, 0.5, 3.0, 0.3), (10.0, 1.2, 4.0, 0.8, 4.5, 0.7), (1.0, 0.01, 5.0, 0.1, 5.0, 0.1)]
     df = spark.createDataFrame(rows, "mean_d_i double, std_d_i double, mean_d_j double, std_d_j double, mean_d_k double, std_d_k double")
-    assert [r.axis for r in focal.dominant_axis(df).collect()] == [None, None, "i", None]
+    assert [r.axis for r in focal.dominant_axis(df).collect()] == [None, None, "i", "j"]
     assert [r.axis for r in focal.dominant_axis(df, use_std=True, std_mult=5.0).collect()] == [None] * 4
     assert [(r.axis, r.side) for r in focal.dominant_axis_twosided(df).collect()] == [(None, None), (None, None), ("i", "high"), ("i", "low")]
     m = focal.axis_metrics(spark.createDataFrame([(1.0, 1.0, 8.0)], "d_k double, d_j double, d_i double")).first()
