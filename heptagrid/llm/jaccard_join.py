@@ -44,7 +44,9 @@ BEST = 4
 FREQUENT = 50
 FREQUENT_KEPT = 200_000
 #: Tokens counted together in the first pass.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Sets sent on at a time.
+SETS = 500
 #: Bits of the filter of those classes whose sets are to be read; false positives are dropped by the join that follows.
 FILTER_BITS = 1 << 23
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -221,13 +223,11 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
         bits = sent.value
         for batch in batches:
             slot, texts = _slots(batch.column(0).to_numpy()), batch.column(1)
-            known, data = [], []
-            for k in np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist():
-                tokens = shingles(texts[k].as_py())
-                if len(tokens):
-                    known.append(class_of(tokens))
-                    data.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(data, pa.binary())], names=["class", "tokens"])
+            wanted = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist()
+            for at in range(0, len(wanted), SETS):
+                made = [t for t in (shingles(texts[k].as_py()) for k in wanted[at : at + SETS]) if len(t)]
+                known = pa.array([class_of(t) for t in made], pa.int64())
+                yield pa.RecordBatch.from_arrays([known, pa.array([t.tobytes() for t in made], pa.binary())], names=["class", "tokens"])
 
     found = rows.select(F.xxhash64("id"), "text").mapInArrow(sets, "class bigint, tokens binary")
     found = found.groupBy("class").agg(F.first("tokens").alias("tokens"))  # copies meet on the map side

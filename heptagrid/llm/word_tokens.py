@@ -27,7 +27,7 @@ NORMALIZERS = [
 ]
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Of the last words met, so many at least and twice as many at most are kept, some 100 bytes each.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
 
 
 def byte_letters() -> dict[int, str]:
