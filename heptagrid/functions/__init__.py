@@ -1,0 +1 @@
+"""Column expressions: the codec, the number line, latitudes and distances."""

@@ -3,24 +3,105 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import codec, stats
 from ..functions.geodesy import geodesic_struct
-from .neighbours import edges
+from .neighbours import edges, ring
 
 #: Directions of each axis: its positive end, then its negative one.
 AXES = {"k": (1, 6), "j": (2, 5), "i": (4, 3)}
 PARENT_LEVEL = 4
 
 
-def gather(df: DataFrame, value: str = "value", cell: str = "cell") -> DataFrame:
+#: Levels between a cell and the block that it is worked on in: up to 16,807 cells, and some three percent around them.
+BLOCK_LEVELS = 5
+RING = ("h1", "h2", "h3", "h4", "h5", "h6")
+
+
+def gather(df: DataFrame, level: int, value: str = "value", cell: str = "cell") -> DataFrame:
     """df with h1 to h6, the neighbours' values, null where the area has no such cell; and n_nbrs, how many it has.
 
-    An equi-join on the id, then one aggregation by cell that combines on the map side.
+    One exchange: each row goes to its block, and those at a block's edge, as id and value alone, to the blocks of their
+    neighbours too, who are the ones that ask for them, as being neighbours goes both ways. Blocks are then worked on one
+    at a time. An id that comes twice is asked for with the largest of its values.
     """
+    names = df.columns
+    at, shift = names.index(cell), np.uint64(3 * (codec.DIGITS - max(level - BLOCK_LEVELS, 0)))
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    extra = [T.StructField("__block", T.LongType()), T.StructField("__own", T.BooleanType()), T.StructField("__h", T.DoubleType())]
+    rows = df.withColumn("__h", F.col(value).cast("double"))
+
+    def ids(column: pa.Array) -> np.ndarray:
+        return column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def block(cells: np.ndarray) -> np.ndarray:
+        return (cells.view(np.uint64) >> shift).astype(np.int64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, known = ids(batch.column(at)), batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+            own = block(cells)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(own), pa.array(np.ones(len(own), bool)), batch.columns[-1]], names=[*names, "__block", "__own", "__h"]
+            )
+            out, exist = ring(cells)
+            other = np.sort(np.where(exist & known[:, None], block(out.ravel()).reshape(out.shape), own[:, None]), axis=1)
+            first = np.ones(other.shape, bool)
+            first[:, 1:] = other[:, 1:] != other[:, :-1]
+            row, place = np.nonzero(first & (other != own[:, None]))
+            if len(row):
+                n, pick = len(row), pa.array(row)
+                columns = [batch.column(at).take(pick) if k == at else pa.nulls(n, batch.schema.field(k).type) for k in range(len(names))]
+                rest = [pa.array(other[row, place]), pa.array(np.zeros(n, bool)), batch.columns[-1].take(pick)]
+                yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*names, "__block", "__own", "__h"])
+
+    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cells, own = ids(rows.column(at).combine_chunks()), rows.column("__own").to_numpy()
+        heights = rows.column("__h").combine_chunks()
+        mine = np.flatnonzero(own)
+        if not len(mine):
+            return
+        out, exist = ring(cells[mine])
+        order = np.argsort(cells, kind="stable")
+        found = np.minimum(np.searchsorted(cells[order], out), len(cells) - 1)
+        known = rows.column(at).is_valid().to_numpy()
+        there = exist & (cells[order][found] == out) & known[mine][:, None]
+        there &= heights.is_valid().to_numpy(zero_copy_only=False)[order[found]]
+        taken = heights.to_numpy(zero_copy_only=False)[order[found]]
+        kept = rows.take(pa.array(mine)).select(names)
+        ring_columns = [pa.array(taken[:, k], mask=~there[:, k]) for k in range(6)]
+        result = pa.table([*kept.columns, *ring_columns, pa.array(there.sum(1))], names=[*names, *RING, "n_nbrs"])
+        yield from result.combine_chunks().to_batches()
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            blocks = batch.column(len(names)).to_numpy()
+            cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and b > a and held[0].column(len(names))[0].as_py() != blocks[a]:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    dealt = rows.mapInArrow(spread, T.StructType(fields + extra)).repartition("__block")
+    dealt = dealt.sortWithinPartitions("__block", cell, F.col("__h").desc_nulls_last())
+    ringed = [T.StructField(h, T.DoubleType()) for h in RING] + [T.StructField("n_nbrs", T.LongType())]
+    return dealt.mapInArrow(by_block, T.StructType(fields + ringed))
+
+
+def gather_by_join(df: DataFrame, value: str = "value", cell: str = "cell") -> DataFrame:
+    """The same by an equi-join on the id and an aggregation: six rows a cell are exchanged; needs no level."""
     data = df.select(F.col(cell).alias("nbr"), F.col(value).alias("__h"))
     pairs = edges(df.select(cell), cell).where("nbr IS NOT NULL").join(data, "nbr")
     ring = pairs.groupBy(cell).agg(*[F.max(F.when(F.col("dir") == d, F.col("__h"))).alias(f"h{d}") for d in range(1, 7)], F.count("*").alias("n_nbrs"))
@@ -75,11 +156,12 @@ def slope(
         raise ValueError(f"no mode {mode}")
     if mode == "lookup" and model is None or mode == "geodesic" and centroids is None:
         raise ValueError(f"{mode} needs its table")
-    ringed = gather(df, value, cell)
+    ringed = gather(df, level, value, cell)
     with_d = with_geodesic_distances(ringed, centroids, cell) if mode == "geodesic" else with_distances(ringed, level, model if mode == "lookup" else None, cell)
-    # a cell's own missing value makes no slope, as its neighbours' do
-    own = F.when(F.col(value).isNull(), F.lit(None)).otherwise(slope_column())
-    return with_d.withColumn("slope", own).drop("h1", "h2", "h3", "h4", "h5", "h6", "n_nbrs", "d_k", "d_j", "d_i")
+    # heights are differences to the cell's own, so without that, or with NaN, there is none
+    own = F.col(value).cast("double")
+    found = F.when(F.isnan(own), F.lit(float("nan"))).when(own.isNotNull(), slope_column())
+    return with_d.withColumn("slope", found).drop("h1", "h2", "h3", "h4", "h5", "h6", "n_nbrs", "d_k", "d_j", "d_i")
 
 
 def slope_degrees(slope_: Column) -> Column:

@@ -1,0 +1 @@
+"""Archives, read and written."""

@@ -1,0 +1 @@
+"""Nothing is surveyed as streaming, so this has no operators; the column functions work on streams as they are."""

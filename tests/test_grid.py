@@ -181,6 +181,10 @@ def test_slope_against_a_loop_and_partitions(spark):
         assert abs(got[c] - want) < 1e-12
         finite += 1
     assert finite > 1500
+    odd = F.when(F.col("mono") == 941300, F.lit(float("nan"))).when(F.col("mono") != 941400, F.col("value"))
+    missing = {r.mono: r.slope for r in focal.slope(df.withColumn("value", odd), 7, mode="isotropic").collect()}
+    assert math.isnan(missing[941300]) and missing[941400] is None
+    assert sum(v is None for v in missing.values()) >= 2000 - finite + 6
     for bad in ({"mode": "lookup"}, {"mode": "geodesic"}, {"mode": "x"}):
         with pytest.raises(ValueError):
             focal.slope(df, 7, **bad)
@@ -188,6 +192,19 @@ def test_slope_against_a_loop_and_partitions(spark):
     assert acc.cells == 2000 and acc.pentagon == 0 and acc.out_of_area == acc.boundary_only == 2000 - finite
 
 
+@pytest.mark.parametrize("level", [2, 7])
+def test_gather_is_the_join(spark, level, monkeypatch):
+    monkeypatch.setattr(focal, "BLOCK_LEVELS", 2)
+    df = mono.all_cells(spark, 2) if level == 2 else plane(spark, n=3000).where("mono % 19 <> 4")
+    df = df.withColumn("value", F.when(F.col("mono") % 23 != 0, (F.col("mono") % 31).cast("float"))).withColumn("other", F.col("mono").cast("string"))
+    names = ["cell", "other", "value", *focal.RING, "n_nbrs"]
+    a, b = focal.gather(df, level).select(names), focal.gather_by_join(df.where("value IS NOT NULL")).select(names)
+    got = {r.cell: tuple(r) for r in a.collect()}
+    assert len(got) == df.count()
+    assert {c: r for c, r in got.items() if r[2] is not None} == {r.cell: tuple(r) for r in b.collect()}
+    assert focal.gather(df.limit(0), level).count() == 0
+
+
 def test_dominance_and_metrics(spark):
     rows = [(5.2, 0.5, 5.5, 0.6, 5.0, 0.4), (3.1, 0.4, 2.9, 0.5, 3.0, 0.3), (10.0, 1.2, 4.0, 0.8, 4.5, 0.7), (1.0, 0.01, 5.0, 0.1, 5.0, 0.1)]
     df = spark.createDataFrame(rows, "mean_d_i double, std_d_i double, mean_d_j double, std_d_j double, mean_d_k double, std_d_k double")
