@@ -204,6 +204,8 @@ count(DISTINCT i // 343) * 343 AS cells_read FROM p WHERE event_id % 97 = 3""",
 SELECT w.event_id, round({slope('wk', 'wj', 'wi')}, 9) AS slope FROM w LEFT JOIN six ON w.event_id = six.event_id""",
     "slope_degrees_stats": f"""WITH {GATHER}, x AS (SELECT degrees(atan({slope(repr(BASE), repr(BASE), repr(BASE))})) AS x FROM holes LEFT JOIN six ON holes.event_id = six.event_id)
 SELECT count(*) AS n, count(x) AS n_known, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.9), 6) AS p90 FROM x""",
+    "neighbour_spread": f"""WITH {AOI}, {ring_ctes('aoi', 'event_id', 7)}, far AS (SELECT event_id, max(abs(nb * 823543 + n1 * 117649 + n2 * 16807 + n3 * 2401 + n4 * 343 + n5 * 49 + n6 * 7 + n7 * 1 - mono)) AS s FROM x9 GROUP BY event_id)
+SELECT CAST(max(s) AS BIGINT) AS most, CAST(min(s) AS BIGINT) AS least, round(avg(s), 4) AS mean FROM far""",
     "dominant_axis": f"""WITH {AXES}, {RANK_DOWN}, {WIDE} SELECT s_suppkey, CASE WHEN m1 / ((m2 + m3) / 2) >= 1.05 AND m1 > m2 + 0.5 * sqrt(s1 * s1 + s2 * s2) THEN axis1 END AS axis, round(m1 / ((m2 + m3) / 2), 9) AS ratio FROM wide""",
     "dominant_axis_twosided": f"""WITH {AXES}, {RANK_UP}, {WIDE}, t AS (SELECT *, m3 / m2 >= 1.02 AND m3 - m2 >= 0.5 * sqrt(s3 * s3 + s2 * s2) AS high, m2 / m1 >= 1.02 AND m2 - m1 >= 0.5 * sqrt(s2 * s2 + s1 * s1) AS low FROM wide)
 SELECT s_suppkey, CASE WHEN high THEN axis3 WHEN low THEN axis1 END AS axis, CASE WHEN high THEN 'high' WHEN low THEN 'low' END AS side FROM t""",

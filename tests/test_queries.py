@@ -40,4 +40,4 @@ def test_query(spark, sf, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"k_ring", "neighbour_spread", "geodesic_distance"}
+    assert set(QUERIES) - set(ORACLES) == {"k_ring", "geodesic_distance"}
