@@ -22,8 +22,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest id."""
-    return one_of_each(docs)
+    """Of each group of documents that links join, the one with the smallest id. Sets are of five words, and link from 0.8 on."""
+    return one_of_each(docs, percent=80, words=5)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,12 @@
 """N-gram Jaccard join over count vectors in R-trees, and the components of its links.
 
-A document's set holds the 64-bit hashes of its distinct 4-word shingles. Documents with equal sets form a class, and only
+A document's set holds the 64-bit hashes of its distinct shingles, of 4 words unless others are asked for. Documents with equal sets form a class, and only
 classes are joined. Tokens are hashed into groups, about one for two tokens, and the numbers of a set's tokens by group are
 its point. The sum of the coordinates' minima of two points bounds the overlap of the sets from above, and so does that of
 a point and the upper corner of an R-tree node's box for every point in it. What survives is verified on the sets.
 
 The forest is sharded by prefix tokens. In one order of all tokens, two sets that link share a token among the first
-``n - ceil(0.85 n) + 1`` of each; tokens found to be frequent come last in that order, so a passage that many documents
+``n - ceil(0.85 n) + 1`` of each (at 85 percent); tokens found to be frequent come last in that order, so a passage that many documents
 share seldom leads two of them into one shard. The order decides the amount of work only: the join is exact. Classes that
 share a token form a shard with the smallest of them, the pivot; shards with the same pivot are taken as one block.
 
@@ -100,7 +100,7 @@ def needed(n, percent: int = PERCENT):
     return -(-percent * n // (100 + percent))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
+def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     """Tokens met often. Every partition counts all its tokens, a chunk after another, and drops what a chunk has twice at
     most; the counts that are left are added up."""
 
@@ -113,7 +113,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         parts, size, seen = [], 0, set()
         for batch in batches:
             for text in batch.column(1):
-                tokens = shingles(text.as_py())
+                tokens = shingles(text.as_py(), words)
                 if len(tokens) and (k := class_of(tokens)) not in seen:
                     seen.add(k)
                     parts.append(tokens)
@@ -129,7 +129,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.collect()], np.int64).view(np.uint64))
 
 
-def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int) -> DataFrame:
     """id, n, class, prefix (tokens), point (numbers by group); class is null for an empty set."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -138,7 +138,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int) -> DataFram
         for batch in batches:
             n, classes, prefixes, points = [], [], [], []
             for text in batch.column(1):
-                tokens = shingles(text.as_py())
+                tokens = shingles(text.as_py(), words)
                 n.append(len(tokens))
                 if not len(tokens):
                     classes.append(None)
@@ -211,7 +211,7 @@ def _slots(ids: np.ndarray) -> np.ndarray:
     return (_mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataFrame:
     """The pairs a, b of classes whose sets link. Sets are made again from the texts, of the classes in pairs alone: a
     document of each is known, and the scan makes the sets of the documents whose hashed id is in a bit map."""
     spark = rows.sparkSession
@@ -225,7 +225,7 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
             slot, texts = _slots(batch.column(0).to_numpy()), batch.column(1)
             wanted = np.flatnonzero(bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1).tolist()
             for at in range(0, len(wanted), SETS):
-                made = [t for t in (shingles(texts[k].as_py()) for k in wanted[at : at + SETS]) if len(t)]
+                made = [t for t in (shingles(texts[k].as_py(), words) for k in wanted[at : at + SETS]) if len(t)]
                 known = pa.array([class_of(t) for t in made], pa.int64())
                 yield pa.RecordBatch.from_arrays([known, pa.array([t.tobytes() for t in made], pa.binary())], names=["class", "tokens"])
 
@@ -348,17 +348,17 @@ def _tree_pairs(members: DataFrame, percent: int, best: int) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS
 ) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, component_id (the smallest id reachable by links).
 
-    Two documents link when ``100 * overlap >= percent * union``. A text that is null, empty or white space has an empty
+    Two documents link when ``100 * overlap >= percent * union`` of their shingles of so many words. A text that is null, empty or white space has an empty
     set, and is linked with nothing: its component is its own id. Rows with equal texts are each returned; each row is a
     document of its own, even if ids repeat. A null id doesn't count as smallest, so a component of null ids alone has a
     null id. An empty table gives an empty result. Other columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(id_col), F.col(text_col)).toDF("id", "text")
-    signed = staged(_signatures(rows, _frequent(rows), percent), "signatures")
+    signed = staged(_signatures(rows, _frequent(rows, words), percent, words), "signatures")
     classes = (
         signed.where("class IS NOT NULL")
         .groupBy("class")
@@ -407,16 +407,16 @@ def jaccard_components(
 
     ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     tried = bounded(blocks.groupBy("class").agg(F.min("pivot").alias("b")).toDF("a", "b").select(*ordered), "stars")
-    links = staged(_verified(rows, classes, tried, percent), "links")
+    links = staged(_verified(rows, classes, tried, percent, words), "links")
     labels = joined(links)
 
     direct = labelled(labelled(blocks.toDF("a", "b", "size").where("size = 2"), "a"), "b").where("a_label <> b_label")
     more = new(bounded(direct.select(*ordered).distinct(), "direct").union(from_trees(BEST)).distinct(), "nearest")
-    links = links.union(staged(_verified(rows, classes, more, percent), "links"))
+    links = links.union(staged(_verified(rows, classes, more, percent, words), "links"))
     tried, labels = tried.union(more), joined(links)
 
     rest = new(from_trees(0), "rest")
-    links = links.union(_verified(rows, classes, rest, percent))
+    links = links.union(_verified(rows, classes, rest, percent, words))
     labels = joined(links)
 
     named = classes.select("class", "id").join(labels.toDF("class", "label"), "class", "left")
@@ -429,13 +429,13 @@ def jaccard_components(
     )
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """The documents whose id is their component's: one of each group stays, the one with the smallest id."""
-    found = jaccard_components(docs, percent, id_col, text_col)
+    found = jaccard_components(docs, percent, id_col, text_col, words)
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=85, words=4)

@@ -1,5 +1,9 @@
 """The stages against plain versions of each, and the driver's guard."""
 
+import itertools
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +56,33 @@ def test_registered(name):
     import __spark_entry__
 
     assert name in __spark_entry__.queries()
+
+
+def five_word_components(rows, percent=80):
+    """Each id's least reachable id, by all pairs of the sets of five-word shingles."""
+    sets = []
+    for _, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+    label = [d for d, _ in rows]
+    for (i, x), (k, y) in itertools.combinations(enumerate(sets), 2):
+        if x and y and label[i] != label[k] and 100 * len(x & y) >= percent * len(x | y):
+            old, new = max(label[i], label[k]), min(label[i], label[k])
+            label = [new if v == old else v for v in label]
+    return {d: c for (d, _), c in zip(rows, label)}
+
+
+def test_near_duplicates_by_five_words(spark, sf):
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()]
+    for n in (30, 49, 50, 51, 60, 300):  # a word changed: at 50, 41 / 51 by five words and 43 / 51 by four
+        text = ["w%d" % rng.randrange(10**6) for _ in range(n)]
+        for _ in range(4):
+            rows.append((10**6 + len(rows), " ".join(text)))
+            text[rng.randrange(8, n - 8)] = "w%d" % rng.randrange(10**6)
+    rows += [(2 * 10**6 + k, t) for k, t in enumerate(("a b c d", "A b  c d", "a b c", "", None))]
+    found = five_word_components(rows)
+    assert {d for d, c in found.items() if d == c} != {c for _, _, c in plain_components(rows)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = p.near_duplicates(spark, docs, sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, c in found.items() if d == c)
