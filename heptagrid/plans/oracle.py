@@ -198,6 +198,8 @@ SELECT count(*) AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS most FROM x"
     "bbox_select": f"WITH {LONLAT} SELECT c_custkey, lon, lat FROM lonlat WHERE lon BETWEEN -30 AND 60 AND lat BETWEEN 10 AND 70",
     "chunk_touches": f"""WITH {HOLES}, p AS (SELECT event_id, row_number() OVER (ORDER BY mono) - 1 AS i FROM holes) SELECT count(*) AS cells, count(DISTINCT i // 343) AS chunks,
 count(DISTINCT i // 343) * 343 AS cells_read FROM p WHERE event_id % 97 = 3""",
+    "chunk_touches_whole": f"""WITH {HOLES}, p AS (SELECT row_number() OVER (ORDER BY mono) - 1 AS i FROM holes) SELECT count(*) AS cells, count(DISTINCT i // 343) AS chunks,
+count(DISTINCT i // 343) * 343 AS cells_read FROM p""",
     "layout_roundrobin": "SELECT i AS position, row_number() OVER (ORDER BY i % 7, i) - 1 AS moved FROM range(1000) AS t(i)",
     "slope_isotropic": f"WITH {GATHER} SELECT holes.event_id, round({slope(repr(BASE), repr(BASE), repr(BASE))}, 9) AS slope FROM holes LEFT JOIN six ON holes.event_id = six.event_id",
     "slope_lookup": f"""WITH {GATHER}, {LOOKUP}, w AS (SELECT event_id, """ + ", ".join(f"{BASE!r} * coalesce(d{a} / dg, 1) AS w{a}" for a in "kji") + f""" FROM holes LEFT JOIN lookup ON mono // 343 = m)

@@ -426,6 +426,12 @@ def chunk_touches(spark, d):
     return ranges.chunk_touches(placed, "position", CHUNK)
 
 
+@query
+def chunk_touches_whole(spark, d):
+    placed = ranges.positions(aoi(spark, d).select("mono"), ranges.range_offsets(ranges.find_ranges(holes(spark, d))))
+    return ranges.chunk_touches(placed, "position", CHUNK)
+
+
 @query
 def layout_roundrobin(spark, d):
     n = 1000

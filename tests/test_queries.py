@@ -38,6 +38,11 @@ def test_query(spark, sf, con, name):
         assert got == want
 
 
+def test_chunk_touches_of_all_rows(spark, sf, con):
+    cells = con.execute("SELECT count(*) FROM events WHERE event_type <> 'error'").fetchone()[0]
+    assert tuple(QUERIES["chunk_touches_whole"](spark, sf).first()) == (cells, -(-cells // 343), -(-cells // 343) * 343)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"k_ring", "geodesic_distance"}
