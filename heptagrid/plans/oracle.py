@@ -188,6 +188,7 @@ round(avg(CAST(o_totalprice > 150000 AS INTEGER)), 6) AS share_large FROM earth
     "range_compression_ratio": f"WITH {RANGES} SELECT count(*) AS r, CAST(sum(n) AS BIGINT) AS n, round(count(*) / sum(n), 9) AS ratio FROM placed",
     "parent_zone_select": f"WITH {AOI} SELECT event_id, value FROM aoi WHERE mono // 343 = {941192 // 343}",
     "select_cells": f"WITH {AOI} SELECT event_id, cell FROM aoi WHERE event_id % 13 = 5",
+    "select_cells_of_pixels": f"WITH {AOI}, {PIXELS} SELECT event_id, cell FROM aoi WHERE mono IN (SELECT mono FROM pixels)",
     "inner_compare": f"""WITH {AOI}, {PIXELS}, o AS (SELECT mono, avg(q) AS q FROM pixels GROUP BY mono), x AS (SELECT abs(value - q) AS x FROM aoi JOIN o ON aoi.mono = o.mono)
 SELECT count(*) AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS most FROM x""",
     "left_default_lookup": f"""WITH {AOI}, {LOOKUP} SELECT event_id, """ + ", ".join(f"round({BASE!r} * coalesce(d{a} / dg, 1), 6) AS d_{a}" for a in "kji") + " FROM aoi LEFT JOIN lookup ON mono // 343 = m",

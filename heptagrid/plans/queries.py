@@ -379,6 +379,12 @@ def select_cells(spark, d):
     return archive.select_cells(aoi(spark, d), aoi(spark, d).where("event_id % 13 = 5")).select("event_id", "cell")
 
 
+@query
+def select_cells_of_pixels(spark, d):
+    """The cells of another table: some are asked for many times, and at small scales some are not there."""
+    return archive.select_cells(aoi(spark, d), pixels(spark, d)).select("event_id", "cell")
+
+
 @query
 def inner_compare(spark, d):
     other = pixels(spark, d).groupBy("mono").agg(F.avg("q").alias("q"))
