@@ -157,6 +157,7 @@ k AS (SELECT * FROM a WHERE d <> CASE WHEN base < 6 THEN 2 ELSE 5 END) SELECT ba
     "neighbour_single": f"WITH {EARTH}, {ring_ctes('earth', 'o_orderkey', 6)} SELECT o_orderkey, {signed(packed('b', [f'n{i}' for i in range(1, 7)]))} AS cell, c AS carry FROM r6 WHERE dir = 3",
     "neighbours_exploded": f"WITH {EARTH}, {ring_ctes('earth', 'o_orderkey', 6)} SELECT o_orderkey, dir, nbr FROM ring",
     "neighbours_of_pentagons": f"WITH line AS (SELECT m AS mono, 1 AS one FROM range({12 * 343}) AS t(m) WHERE {valid('m', 3)} AND m % 343 < 60), {ring_ctes('line', 'one', 3)} SELECT mono, dir, nbr FROM ring",
+    "neighbours_of_level": f"WITH line AS (SELECT m AS mono, 1 AS one FROM range({12 * 343}) AS t(m) WHERE {valid('m', 3)}), {ring_ctes('line', 'one', 3)} SELECT mono, dir, nbr FROM ring",
     "boundary_accounting": f"""WITH {HOLES}, {ring_ctes('holes', 'event_id', 7)}, j AS (SELECT r.event_id, r.nbr, h.cell FROM ring r LEFT JOIN holes h ON r.nbr = h.cell),
 p AS (SELECT event_id, bool_or(nbr IS NULL) AS pent, bool_or(nbr IS NOT NULL AND cell IS NULL) AS outside FROM j GROUP BY event_id)
 SELECT count(*) AS cells, count(*) FILTER (pent) AS pentagon, count(*) FILTER (outside) AS out_of_area, count(*) FILTER (outside AND NOT pent) AS boundary_only FROM p""",

@@ -240,6 +240,11 @@ def neighbours_of_pentagons(spark, d):
     return neighbours.edges(cells).select("mono", "dir", "nbr")
 
 
+@query
+def neighbours_of_level(spark, d):
+    return neighbours.edges(mono.all_cells(spark, 3)).select("mono", "dir", "nbr")
+
+
 @query
 def boundary_accounting(spark, d):
     return neighbours.boundary_accounting(holes(spark, d))

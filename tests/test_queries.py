@@ -51,6 +51,13 @@ def test_select_cells_asks_for_repeated_and_missing_cells(spark, sf, con):
     assert sorted(got) == sorted(there & set(asked))
 
 
+def test_neighbours_of_every_cell(spark, sf):
+    rows = QUERIES["neighbours_of_level"](spark, sf).collect()
+    assert {r.mono // 343 for r in rows if r.mono % 343 >= 60} == set(range(12))
+    assert len({r.mono for r in rows}) == 10 * 7**3 + 2 and len(rows) == 6 * (10 * 7**3 + 2)
+    assert sum(r.nbr is None for r in rows) == 12
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"k_ring", "geodesic_distance"}
