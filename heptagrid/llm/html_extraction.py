@@ -26,6 +26,8 @@ PAGES = 400
 EPOCHS = 8
 RATE = 0.2
 DECAY = 1e-4
+#: Words that tell of menus, notices and the like; a block with one in so many characters, or more, says them, another mentions them.
+PER_SIGN = 200
 SIGNS = ("cookie", "copyright", "©", "rights reserved", "subscribe", "newsletter", "log in", "sign up", "privacy", "comment", "repl", "click", "advert", "sponsor", "offer")
 
 
@@ -45,9 +47,9 @@ def path_features(path: tuple) -> list[str]:
 
 def text_features(block: Block) -> list[str]:
     n = len(block.text)
-    low = block.text[:200].lower()
+    low = block.text.lower()
     found = [f"length {min(7, n.bit_length() // 2)}", f"linked {round(3 * min(1, block.linked / n))}", "bias"]
-    found += [f"says {s}" for s in SIGNS if s in low]
+    found += [f"{'says' if low.count(s) * PER_SIGN >= n else 'mentions'} {s}" for s in SIGNS if s in low]
     if block.text[-1] in ".?!…\"”":
         found.append("ends a sentence")
     if n < 60 and block.text[:1].isupper():

@@ -13,6 +13,8 @@ NOTICES = (
 )
 ADVERTS = ("Buy now and save", "Sponsored", "Advertisement", "Best offers today", "Limited offer, click here")
 FOOTERS = ("© 2024 Example. All rights reserved.", "Copyright Example Ltd", "Privacy policy | Terms of use", "Imprint")
+#: Words that a long text of either kind may mention.
+MENTIONS = "cookie cookies copyright privacy comment comments subscribe newsletter click offer advert sponsor reply".split()
 #: Containers of the article, and what may hold each kind of the rest; in each a choice of tag and attributes.
 ARTICLE = ("article", "main", 'div class="content"', 'div id="main-content"', 'div class="post-body"', 'section class="entry article"', 'div class="story text"', 'article class="post"', 'article itemprop="articleBody"')
 HOLDERS = {
@@ -35,6 +37,9 @@ def _prose(rng: random.Random, words: int) -> str:
         sentence[0] = sentence[0].capitalize()
         sentence[-1] += rng.choice(("..", ".", ".", "?"))[-1:]
         out += sentence
+    if words > 30 and rng.random() < 0.3:
+        for _ in range(rng.randrange(1, 3)):
+            out[rng.randrange(1, len(out))] = rng.choice(MENTIONS)
     noise = rng.random()
     if noise < 0.1:
         out = [w + rng.choice(("***", "&&&", "$$$", "%%%")) for w in out]
@@ -43,6 +48,13 @@ def _prose(rng: random.Random, words: int) -> str:
     return " ".join(out)
 
 
+def _told(rng: random.Random, signs: tuple[str, ...]) -> str:
+    """A long block that isn't the article's, whose telling words come anywhere in it."""
+    parts = [_prose(rng, rng.randrange(5, 40)) for _ in range(rng.randrange(1, 4))] + [rng.choice(signs) for _ in range(rng.randrange(1, 4))]
+    rng.shuffle(parts)
+    return " ".join(parts)
+
+
 def labelled_page(seed: int) -> tuple[str, list[tuple[str, int]]]:
     """A page, and the texts of its blocks in order with 1 for the article's."""
     rng = random.Random(seed)
@@ -71,13 +83,13 @@ def labelled_page(seed: int) -> tuple[str, list[tuple[str, int]]]:
         elif kind == "head":
             box(tag, lambda: (put(_prose(rng, rng.randrange(1, 6)), 0, rng.choice(("h1", "div", "p"))), links(rng.randrange(3), False)))
         elif kind == "foot":
-            box(tag, lambda: put(rng.choice((rng.choice(FOOTERS), "© " + _prose(rng, rng.randrange(2, 30)))), 0, rng.choice(("p", "div", "small"))))
+            box(tag, lambda: put(rng.choice((rng.choice(FOOTERS), "© " + _prose(rng, rng.randrange(2, 30)), _told(rng, FOOTERS))), 0, rng.choice(("p", "div", "small"))))
         elif kind == "side":
             box(tag, lambda: (put(_prose(rng, rng.randrange(1, 5)), 0, rng.choice(("h2", "h3"))), links(rng.randrange(1, 5), True), put(_prose(rng, rng.randrange(3, 40)), 0, "p")))
         elif kind == "advert":
-            box(tag, lambda: put(rng.choice((rng.choice(ADVERTS), _prose(rng, rng.randrange(2, 30)))), 0, rng.choice(("p", "div", "span"))))
+            box(tag, lambda: put(rng.choice((rng.choice(ADVERTS), _prose(rng, rng.randrange(2, 30)), _told(rng, ADVERTS))), 0, rng.choice(("p", "div", "span"))))
         elif kind == "notice":
-            box(tag, lambda: put(rng.choice((rng.choice(NOTICES), _prose(rng, rng.randrange(3, 30)))), 0, rng.choice(("p", "div", "span"))))
+            box(tag, lambda: put(rng.choice((rng.choice(NOTICES), _prose(rng, rng.randrange(3, 30)), _told(rng, NOTICES))), 0, rng.choice(("p", "div", "span"))))
         elif kind == "form":
             box(tag, lambda: (put(_prose(rng, rng.randrange(1, 4)), 0, "div"), put(rng.choice(("Send", "Search", "Log in")), 0, "button")))
         else:
@@ -99,7 +111,7 @@ def labelled_page(seed: int) -> tuple[str, list[tuple[str, int]]]:
         for k in range(n):
             if k == inside:
                 other(rng.choice(("advert", "side", "notice", "form", "menu")))
-            put(_prose(rng, rng.choice((1, 3, 10, 40, 80))), 1, rng.choice(("p", "p", "p", "p", "p", "h2", "blockquote", "li", "pre", "div")))
+            put(_prose(rng, rng.choice((1, 3, 10, 40, 80, 200))), 1, rng.choice(("p", "p", "p", "p", "p", "h2", "blockquote", "li", "pre", "div")))
         if rng.random() < 0.2:
             other("comments")
 

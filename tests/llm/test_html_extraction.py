@@ -6,6 +6,8 @@ from html import unescape
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from heptagrid.llm import html_extraction as x
@@ -78,6 +80,37 @@ def test_blocks_of_bad_markup():
     assert blocks("<div class='ad box'><p hidden>x</p></div>")[0].path == (("div", frozenset({"ad", "box"})), ("p", frozenset({"hidden"})))
 
 
+def test_odd_attributes():
+    text = lambda h: [b.text for b in blocks(h)]
+    assert text('<p title="5" tall">Hello</p>') == ["Hello"]
+    assert text('<p class="a"b">One</p>') == ["One"]
+    assert text("<img alt=\"5' 10\"\">tail") == ["tail"]
+    assert text("<p a='1'b=2 c = \"x>y\" =d/e>One</p>") == ["One"]
+    assert text('<p title="never closed>One</p><p>Two</p>') == ["One", "Two"]
+    assert text("<a href=x/>l</a> </> </3 > 1 <2 <!-->a<!--->b<!-- c --!>d<!DOCTYPE x>e") == ["l 1 <2 abde"]
+    assert blocks("<a href=x/>link</a>")[0].linked == 4
+    assert blocks("<p title='class=x' data-id=y CLASS = z id=w>t</p>")[0].path == (("p", frozenset({"z", "w"})),)
+    assert text("<math><mi>x</mi></math> and <object>see<p>this") == ["x and see", "this"]
+    assert text("<p>a</p><scripty>b</scripty><script>c</scripts>d</script >e<style>f") == ["a", "be"]
+    assert len(text("<p " + "a='" * 20000 + ">t")) <= 1 and text("<p " + "a=b " * 20000 + ">t") == ["t"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<p", "<div", "</p", "</div>", "<a href", "<b/>", " ", ">", "/", "=", '"', "'", "class", "x y", "<!--", "-->", "<!x", "word", "<script", "</script>"]), max_size=40))
+def test_no_markup_in_any_text(parts):
+    for b in blocks("".join(parts)):
+        assert not re.search(r"</?[a-zA-Z]|<[!?]", b.text), (parts, b.text)
+
+
+def test_words_that_tell_are_found_anywhere(model):
+    n = 400
+    plain = " ".join(["word"] * n)
+    says = lambda t: {f for f in x.text_features(blocks(f"<p>{t}</p>")[0]) if f.startswith(("says", "mentions"))}
+    assert says(plain) == set() and says(plain + " privacy") == {"mentions privacy"} and says("Our privacy") == {"says privacy"}
+    dense = " ".join("cookie" if k % 20 == 0 else "word" for k in range(100, n))
+    assert says(plain[:200] + dense) == {"says cookie"}
+
+
 def test_odd_rows(spark, model):
     page = "<article><h1>T</h1><p>One two three four.</p></article><section class='comments'><p>Nice article, thanks for it.</p></section>"
     rows = [(1, None, None), (2, "u", ""), (3, "u", page), (3, "u", page), (None, "u", page), (4, "u", "<article>" + "<p>Words and more words.</p>" * 30000)]
