@@ -7,6 +7,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: A key of more rows than HOT_ROWS may be dealt to several tasks; so many keys at most, those with the most rows, are.
+HOT_ROWS, HOT_KEYS = 256, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +40,38 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(counts: DataFrame) -> DataFrame | None:
+    """counts: key columns and n, a row per key. The keys of more than HOT_ROWS rows with __salts, one for so many rows; None
+    if there are none. At most HOT_KEYS, so it may be sent to every task; a key that isn't in it has less than one in
+    HOT_KEYS of all rows."""
+    top = counts.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *[c for c in counts.columns if c != "n"]).limit(HOT_KEYS)
+    found = top.withColumn("n", F.ceil(F.col("n") / HOT_ROWS).cast("int")).withColumnRenamed("n", "__salts").collect()
+    return counts.sparkSession.createDataFrame(found, counts.drop("n").schema.add("__salts", T.IntegerType())) if found else None
+
+
+def dealt(df: DataFrame, keys: list[str], hot: DataFrame | None, by: list[str]) -> DataFrame:
+    """Adds __salt, by which a hot key's rows are dealt to as many tasks as it has salts; 0 for any other key."""
+    if hot is None:
+        return df.withColumn("__salt", F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("__salts")).cast("int"), F.lit(0))
+    return df.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__salts")
+
+
+def spread(df: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """A row for each salt of its key."""
+    if hot is None:
+        return df.withColumn("__salt", F.lit(0))
+    salts = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(salts)).drop("__salts")
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """many joined with one, which has a row per key; hot keys' rows are dealt by the columns ``by``. how: inner or left."""
+    if hot is None:
+        return many.join(one, keys, how)
+    return dealt(many, keys, hot, by).join(spread(one, keys, hot), [*keys, "__salt"], how).drop("__salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hot_keys, salted_join, staged
 
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b (bigint). Returns node, label (the smallest node that it reaches) for every node of a link.
 
-    Minima are combined on the map side and joined back, so a node with very many links is never held as a list. Each
-    round is written to the shared folder; rounds grow with the logarithm of the nodes.
+    Minima are combined on the map side and joined back, so a node with very many links is never held as a list, and its
+    links are dealt to many tasks. Each round is written to the shared folder; rounds grow with the logarithm of the nodes.
+    Repeated links and links of a node with itself count for nothing; without others the result is empty.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = staged(edges, "stars"), None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
+        hot = hot_keys(both.groupBy("u").agg(F.count("*").alias("n")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = salted_join(both.where("v > u"), least, ["u"], hot, ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = salted_join(large, least, ["u"], hot, ["v"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m")).where("u <> v").distinct()
         edges = staged(small, "stars")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

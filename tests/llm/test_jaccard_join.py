@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heptagrid.llm import common
 from heptagrid.llm import jaccard_join as j
 from heptagrid.llm.common import table
 from heptagrid.llm.components import components
@@ -64,11 +65,12 @@ def chain(seed):
     return list(enumerate(rows)) + [(3, "a b"), (None, rows[0]), (None, "only this text without an id"), (5, "word " * 20000)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_all_pairs(spark, seed, monkeypatch):
-    rows = chain(seed)
-    assert got(spark, rows) == plain(rows)
-    monkeypatch.setattr(j, "LEAF", 4)
+def test_all_pairs(spark, monkeypatch):
+    assert got(spark, chain(1)) == plain(chain(1))
+    rows = chain(2)
+    for name, value in (("LEAF", 4), ("TREE", 8), ("NAME_BITS", 3), ("FREQUENT", 4), ("FILTER_MOST", 0)):
+        monkeypatch.setattr(j, name, value)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     assert got(spark, rows, percent=60) == plain(rows, 60)
 
 
@@ -88,13 +90,40 @@ def test_empty_and_one_of_each(spark):
 
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(0)
-    points = rng.poisson(3, (300, 64))
-    points[150:] = points[:150] + (rng.random((150, 64)) < 0.05)
-    n = points.sum(1)
-    tree = j.RTree(n, points)
-    for k in range(300):
-        want = np.flatnonzero(np.minimum(points, points[k]).sum(1) >= j.needed(n + n[k]))
-        assert sorted(tree.search(int(n[k]), points[k], 85)) == want.tolist()
+    points = rng.poisson(3, (1200, 64)).astype(np.uint8)
+    points[600:] = points[:600] + (rng.random((600, 64)) < 0.05)
+    n, block = points.sum(1, dtype=np.int64), np.concatenate([rng.integers(0, 40, 600)] * 2)
+    tree, seen = j.RTree(block, n, points), {}
+    assert len(tree.levels) == 3 and sorted(tree.order) == list(range(1200))
+    for m in (64, 16):
+        asked = j.folded(points, m)
+        query, place, over = tree.search(block, n, asked, 85, seen)
+        got = set(zip(query.tolist(), place.tolist()))
+        want = set()
+        for k in range(1200):
+            sums = np.minimum(asked, asked[k]).sum(1) - j.needed(n + n[k])
+            fits = (block == block[k]) & (sums >= 0) & (100 * np.minimum(n, n[k]) >= 85 * np.maximum(n, n[k]))
+            want |= {(k, x) for x in np.flatnonzero(fits).tolist()}
+        assert got == want
+    assert all((np.diff(seen[k]) <= 0).all() for k in range(3))
+
+
+def test_tree_pairs_of_other_labels_and_best():
+    rng = np.random.default_rng(3)
+    points = [rng.poisson(2, 64 << (k % 2)).astype(np.uint8) for k in range(60)]
+    points += [p + (rng.random(len(p)) < 0.02).astype(np.uint8) for p in points for _ in range(6)]
+    n = np.array([int(p.sum()) for p in points])
+    block, classes, labels, guest = rng.integers(0, 3, 420), np.arange(1000, 1420), rng.integers(0, 9, 420), rng.random(420) < 0.5
+    points = [p.tobytes() for p in points]
+    ok = lambda x, y: 100 * min(n[x], n[y]) >= 85 * max(n[x], n[y]) and j.most_shared(points[x], points[y]) >= j.needed(n[x] + n[y])
+    want = {
+        (x + 1000, y + 1000) for x in np.flatnonzero(guest).tolist() for y in np.flatnonzero(~guest).tolist()
+        if block[x] == block[y] and labels[x] != labels[y] and ok(x, y)
+    }
+    got = lambda best: {tuple(p) for p in j.tree_pairs(block, classes, labels, n, points, guest, 85, best).tolist()}
+    assert got(0) == want and len(want) > 100
+    few = got(1)
+    assert few <= want and {x for x, _ in few} == {x for x, _ in want}
 
 
 def test_bound_is_never_below_the_overlap():
@@ -113,6 +142,18 @@ def test_components(spark):
     assert found == {i: 1 for i in range(1, 61)} | dict.fromkeys((100, 200, 300, 400), 100)
 
 
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    many = spark.createDataFrame([(k % 3, k) for k in range(30)] + [(7, k) for k in range(50)] + [(None, 1), (8, 1)], "k long, x long")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c"), (9, "d")], "k long, y string")
+    hot = common.hot_keys(many.groupBy("k").agg(F.count("*").alias("n")))
+    assert {r.k: r["__salts"] for r in hot.collect()} == {0: 4, 1: 4, 2: 4, 7: 17}
+    for how in ("inner", "left"):
+        got, want = common.salted_join(many, one, ["k"], hot, ["x"], how), many.join(one, ["k"], how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert common.hot_keys(many.groupBy("k").agg(F.count("*").alias("n")).where("n < 3")) is None
+
+
 def test_needed():
     for n, p in itertools.product(range(1, 300), (60, 85, 100)):
         least = next(o for o in range(n + 1) if 100 * o >= p * (n - o))
