@@ -1,7 +1,10 @@
 """Hosts, paths and rules against plain Python, and templates by hand."""
 
+import math
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from heptagrid.llm import url_filters as u
@@ -64,3 +67,86 @@ def test_templates_by_hand(spark):
     assert verdict["bad.net"] == "block" and verdict["good.com"] == "allow" and verdict["a.org"] == "allow"
     purity = {r.host: r.purity for r in got}
     assert purity["bad.net"] > u.PURITY > purity["other.org"] > purity["good.com"]
+
+
+def plain_verdicts(urls):
+    """The whole method by a recursion over one host's paths at a time, written from its description."""
+    of = {}
+    for url in urls:
+        host, path, rule = plain(url)
+        at = of.setdefault(host, {}).setdefault(path, [0, 0, 0])
+        at[0] += 1
+        at[1] += rule is not None
+        at[2] += bool(rule) and u.RULES[rule] == "block"
+    template = {}
+
+    def grow(host, name, level, paths):
+        kids = {}
+        for path in paths:
+            parts = path.split("/")[1:]
+            part = parts[level] if level < len(parts) else None
+            if part is not None and re.search("[0-9]", part):
+                part = re.sub("^[^.*]*[*][^.]*", "*", re.sub("[0-9]+", "*", part))
+            kids.setdefault(part, []).append(path)
+        total = lambda group, k: sum(of[host][p][k] for p in group)
+        steps = {}
+        for part, group in kids.items():
+            if part is None:
+                template.update({(host, p): name for p in group})
+                continue
+            step = part
+            if total(group, 0) < u.SUPPORT and len(kids) > u.BRANCHES:
+                step = "*"
+            elif len(kids) > 1:
+                own, rest = (total(group, 1), total(group, 2)), (total(paths, 1) - total(group, 1), total(paths, 2) - total(group, 2))
+                if own[0] and rest[0]:
+                    mean = total(paths, 2) / total(paths, 1)
+                    if abs(own[1] / own[0] - rest[1] / rest[0]) <= u.ERRORS * math.sqrt(mean * (1 - mean) * (1 / own[0] + 1 / rest[0])):
+                        step = "+"
+            steps.setdefault(step, []).extend(group)
+        for step, group in steps.items():
+            grow(host, f"{name}/{step}", level + 1, group)
+
+    for host, paths in of.items():
+        grow(host, "", 0, list(paths))
+    labelled, blocked = {}, {}
+    for (host, path), t in template.items():
+        for key in ((host, t), t, None):
+            labelled[key] = labelled.get(key, 0) + of[host][path][1]
+            blocked[key] = blocked.get(key, 0) + of[host][path][2]
+    prior = blocked[None] / labelled[None] if labelled.get(None) else 0.0
+    found = []
+    for url in urls:
+        host, path, rule = plain(url)
+        t = template[host, path]
+        every = (blocked[t] + u.WEIGHT * prior) / (labelled[t] + u.WEIGHT)
+        purity = (blocked[host, t] + u.WEIGHT * every) / (labelled[host, t] + u.WEIGHT) if labelled[t] else 0.0
+        found.append((host, path, rule, u.RULES[rule] if rule else "block" if purity >= u.PURITY else "allow", t, round(purity, 12)))
+    return found
+
+
+def of_method(spark, urls):
+    pages = spark.createDataFrame([(k, x) for k, x in enumerate(urls)], "page_id long, url string")
+    rows = sorted(u.url_verdicts(pages).collect(), key=lambda r: r.page_id)
+    return [(r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 12)) for r in rows]
+
+
+@pytest.mark.parametrize("subtree", [4096, 12])
+def test_whole_method_against_plain_recursion(spark, sf, monkeypatch, subtree):
+    monkeypatch.setattr(u, "SUBTREE", subtree)
+    rng = random.Random(4)
+    urls = [r.url for r in table(spark, sf, "pages").collect()] if subtree > 12 else []
+    for _ in range(600):
+        host = rng.choice(("a.net", "b.net", "c.com", "d.org", "example.com", "e.org"))
+        depth = rng.choice((0, 1, 2, 3, 5, 9))
+        words = ["es", "fr", "en"], ["tag", "p", "$", "*"], ["x%d" % rng.randrange(50), "y"], ["".join(rng.choices("abcdef", k=2))]
+        urls.append(f"http://{host}/" + "/".join(rng.choice(words[min(k, 3)]) for k in range(depth)))
+    urls += ["http://deep.org/" + "/".join("s" * (1 + (k == at)) for k in range(9)) for at in range(9) for _ in range(30)] + [x for x in ODD if not x or len(x) < 1000]
+    assert of_method(spark, urls) == plain_verdicts(urls)
+
+
+def test_no_level_is_the_last(spark):
+    """Two branches of the twelfth level, of which the rules block one: they stay apart."""
+    urls = [f"http://x.{top}/{lang}/" + "a/" * 10 + f"{leaf}/{k}" for top, lang, leaf in (("net", "es", "bad"), ("org", "es", "bad"), ("com", "es", "good")) for k in range(30)]
+    found = {(r[0], r[4]) for r in of_method(spark, urls)}
+    assert found == {("x.net", "/es/" + "a/" * 10 + "bad/*"), ("x.org", "/es/" + "a/" * 10 + "bad/*"), ("x.com", "/es/" + "a/" * 10 + "good/*")}
