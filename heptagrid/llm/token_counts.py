@@ -1,7 +1,9 @@
 """Token counts with a digest cache.
 
 A text's key is the digest of its normalised content with the digest of the tokenizer's file. Counts are looked up in a
-Parquet table; of the keys that it lacks, one text each is encoded, and the new counts are appended to the table.
+Parquet table, which has a folder for each tokenizer; of the keys that it lacks, one text each is encoded, and the new counts
+are appended to the table. What the table has is first brought down to the contents asked for, so a small batch moves little
+of a large table.
 
 Normalisation may not change a count: for a tokenizers file whose normaliser turns runs of white space into one space and
 whose pre-tokeniser drops white space, runs of blanks, tabs and line ends become one space and the ends are trimmed; for
@@ -18,11 +20,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, table, tokenizer_path
+from .common import fresh_path, hot_keys, salted_join, staged, table, tokenizer_path
 from .word_tokens import digest_of_file, word_encoder
 
 LIMIT = 2048
-CACHE_SCHEMA = "content binary, tokenizer string, n_tokens bigint"
+CACHE_SCHEMA = "content binary, n_tokens bigint, tokenizer string"
 
 
 def counter(path: str):
@@ -57,33 +59,32 @@ def token_counts(
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("__text")).toDF("__id", "__text")
     content = F.unhex(F.sha2(normal_form(F.col("__text"), tokenizer), 256))
+    keyed = staged(rows.select("__id", F.octet_length("__text").cast("long").alias("n_bytes"), content.alias("content")), "keys")
+    copies = staged(keyed.groupBy("content").agg(F.count("*").alias("n")), "contents")
 
-    def stored() -> DataFrame:
+    def known() -> DataFrame:
+        """content, __n: the counts of the batch's contents that the table has; two runs that append one key agree on it."""
         try:
-            return spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version).select("content", "n_tokens")
-        except AnalysisException:  # no table yet
-            return spark.createDataFrame([], CACHE_SCHEMA).select("content", "n_tokens")
+            stored = spark.read.schema(CACHE_SCHEMA).parquet(cache)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = spark.createDataFrame([], CACHE_SCHEMA)  # no table yet
+        stored = stored.where(F.col("tokenizer") == version).join(copies, "content", "left_semi")
+        return stored.groupBy("content").agg(F.max("n_tokens").alias("__n"))
 
     # copies meet on the map side first, so a third of all rows with one text are a row a task after that
-    misses = (
-        rows.select(content.alias("content"), "__text")
-        .join(stored().select("content"), "content", "left_anti")
-        .groupBy("content")
-        .agg(F.first("__text").alias("__text"))
-    )
+    misses = rows.select(content.alias("content"), "__text").join(known(), "content", "left_anti").groupBy("content").agg(F.first("__text").alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(tokenizer)
         for batch in batches:
             found = np.fromiter((of(t.as_py()) for t in batch.column(1)), np.int64, batch.num_rows)
             named = pa.array([version] * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), named, pa.array(found)], names=["content", "tokenizer", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), named], names=["content", "n_tokens", "tokenizer"])
 
-    misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    # two runs that append the same key agree on its count
-    counts = stored().groupBy("content").agg(F.max("n_tokens").alias("__n"))
-    keyed = rows.select("__id", F.octet_length("__text").cast("long").alias("n_bytes"), content.alias("content"))
-    return keyed.join(counts, "content").select(
+    misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    return salted_join(keyed, known(), ["content"], hot_keys(copies), ["__id"]).select(
         F.col("__id").alias(id_col), "n_bytes", F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit")
     )
 
