@@ -201,25 +201,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _bucket(key: Column, bounds: list[int], first: int = 0) -> Column:
-    """How many bounds are below the key, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(first)
-    m = len(bounds) // 2
-    return F.when(key <= bounds[m], _bucket(key, bounds[:m], first)).otherwise(_bucket(key, bounds[m + 1 :], first + m + 1))
+def _bucket(key: Column, cuts: np.ndarray) -> Column:
+    """How many cuts, in ascending order, are at or below the key; only the key goes through Python."""
+
+    @F.arrow_udf("int")
+    def find(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, keys.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+
+    return find(key)
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, last, key, text, sorted within partitions: documents in order of id, and after each bucket, with last = 1,
     the document that follows it.
 
-    Buckets are ranges of ids, by approximate quantiles, so one exchange of the texts puts neighbours together, and only
-    a bucket's first document is sent twice. Null ids come first; equal ids go by their texts.
+    Buckets are ranges of ids, which an exchange of the ids alone finds; so one exchange of the texts puts neighbours together,
+    and only a bucket's first document is sent twice. Null ids come first; equal ids go by their texts, and are one bucket.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("key", [k / n for k in range(1, n)], 20 * n)).first()[0] or []
-    bucketed = rows.select(_bucket(F.col("key"), sorted(set(cuts))).alias("bucket"), F.lit(0).alias("last"), "key", "text")
+    ranged = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
+    cuts = np.unique(np.array([r["key"] for r in ranged.collect()], np.int64))  # no more than n
+    bucketed = rows.select(_bucket(F.col("key"), cuts).alias("bucket"), F.lit(0).alias("last"), "key", "text")
     least = bucketed.groupBy("bucket").agg(F.min("key").alias("key"))
     before = F.lag("bucket").over(W.orderBy("bucket"))  # over buckets, not documents
     least = least.withColumn("before", F.coalesce(before, F.max("bucket").over(W.partitionBy())))
