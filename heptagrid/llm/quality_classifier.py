@@ -1,7 +1,7 @@
 """Quality by nearest-neighbour voting in a latent space.
 
-A text's terms are the trigrams of its character kinds, runs of a kind taken once, and marks of words that repeat. Counts
-are damped, weighted by rarity among the labelled texts and scaled to length one; the leading right singular vectors of the
+A text's terms are the trigrams of its character kinds, runs of a kind taken once, marks of words that repeat, and its words
+and pairs of words, hashed into HASHED terms, which count WORD_WEIGHT as much. Counts are damped, weighted by rarity among the labelled texts and scaled to length one; the leading right singular vectors of the
 labelled texts' matrix are the axes of the latent space. The labelled vectors, SAMPLE at most, are broadcast; of every
 document the cosines with all of them are computed exactly, a block of documents at a time, and the nearest vote with their
 labels, weighted by a power of their similarity.
@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ FOLDS = 5
 OWN_KINDS = ".,!?;:'\"()|#*$%&<>-_/="
 KINDS = 7 + len(OWN_KINDS)
 MARKS = 8
-TERMS = KINDS**3 + MARKS
+#: Terms that words and pairs of words share by their hashes, and the weight of these beside the others.
+HASHED, WORD_WEIGHT = 1 << 13, 0.5
+TERMS = KINDS**3 + MARKS + HASHED
+PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _kinds() -> np.ndarray:
@@ -57,14 +61,16 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = data.lower().split()
     counts = np.bincount(grams, minlength=TERMS)
     if words:
-        h = np.fromiter(map(hash, words), np.int64, len(words))  # equal or not, within this text alone
-        marks = counts[KINDS**3 :]
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        marks = counts[KINDS**3 : KINDS**3 + MARKS]
         for k in (1, 2, 3):
             marks[k - 1] = (h[k:] == h[:-k]).sum()
         distinct = len(np.unique(h))
         marks[3], marks[4] = distinct, len(h) - distinct
-        pairs = h[1:] * np.int64(31) + h[:-1]
+        pairs = (h[1:] * PAIR) ^ h[:-1]
         marks[5] = len(pairs) - len(np.unique(pairs))
+        slots = (np.concatenate([h, pairs * PAIR]) >> np.uint64(40)).astype(np.int64) % HASHED
+        counts[KINDS**3 + MARKS :] = np.bincount(slots, minlength=HASHED)
     found = np.flatnonzero(counts)
     return found, counts[found]
 
@@ -93,6 +99,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, axes: int
     for k, (t, c) in enumerate(rows):
         x[k, at[t]] = np.log1p(c)
     rarity = np.log((1 + n) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
+    rarity[used >= TERMS - HASHED] *= WORD_WEIGHT
     x = _unit(x * rarity)
     k = min(axes, n, len(used))
     q = np.random.default_rng(seed).standard_normal((len(used), k)).astype(np.float32)
@@ -129,8 +136,9 @@ def fold(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on labelled rows outside fold 0. An id that is labelled more than once has the mean of its labels; rows without
-    an id or label, or without a document, are left out."""
+    """Fit on labelled rows outside fold 0. An id that is labelled more than once has the mean of its labels, and of documents
+    with one id the one whose terms come first in order counts; rows without an id or label, or without a document, are left
+    out. So no more than ``sample`` rows are collected."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).dropna()
     known = known.where(fold("id") != 0).groupBy("id").agg(F.avg("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
@@ -144,9 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["id", "label", "terms", "counts"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    counted = rows.select("id", "text", "label").mapInArrow(count, f"id {kind}, label double, terms array<int>, counts array<int>").collect()
-    counted = sorted({r["id"]: r for r in sorted(counted, key=lambda r: (r["terms"], r["counts"]))}.values(), key=lambda r: r["id"])
-    return fit([(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in counted], np.array([r["label"] for r in counted]))
+    counted = rows.select("id", "text", "label").mapInArrow(count, f"id {kind}, label double, terms array<int>, counts array<int>")
+    # documents with one id meet on the map side, so a third of all rows with one id are a row a task after that
+    first = counted.groupBy("id", "label").agg(F.min(F.struct("terms", "counts")).alias("t")).select("id", "label", "t.terms", "t.counts").collect()
+    first = sorted(first, key=lambda r: r["id"])
+    return fit([(np.array(r["terms"], np.int64), np.array(r["counts"], np.int64)) for r in first], np.array([r["label"] for r in first]))
 
 
 def _scores(texts: pa.Array, model: Model) -> np.ndarray:
@@ -176,7 +186,8 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
 
 def keep_predicted(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows whose score reaches the threshold, with all their columns."""
+    """The rows whose score reaches the threshold, with all their columns. A null or empty text has the labels' mean as score;
+    equal texts stay or go together; an empty table gives an empty result."""
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,45 @@ def test_held_out_labels_are_not_learnt(spark, sf):
     assert all(np.array_equal(x, y) for x, y in zip(a, b))
 
 
+def test_words_tell_texts_of_the_same_marks_apart():
+    """Texts that have the same characters' kinds, word lengths and repeats, and differ in their words alone."""
+    rng = np.random.default_rng(0)
+    vocabularies = [["%s%s" % (a, b) for a in "abcdefgh" for b in x] for x in ("klmn", "opqr")]
+    texts = [" ".join(rng.choice(vocabularies[k % 2], 80)) + "." for k in range(120)]
+    rows, labels = [q.terms(t) for t in texts], np.arange(120) % 2
+    model = q.fit(rows[:80], labels[:80])
+    scores = q.vote(model, np.array([q._project(model.axes, *r) for r in rows[80:]], np.float32))
+    assert ((scores > 0.5) == labels[80:]).all()
+
+
+def test_axes_are_the_leading_singular_vectors():
+    rng = np.random.default_rng(1)
+    used = np.sort(rng.choice(q.TERMS, 60, replace=False))
+    rows = []
+    for k in range(40):  # four kinds of texts, so four large singular values
+        own = np.unique(np.concatenate([used[15 * (k % 4) : 15 * (k % 4) + 15], rng.choice(used, 2)]))
+        rows.append((own, rng.integers(1, 4, len(own))))
+    model = q.fit(rows, np.zeros(40), axes=4)
+    x = np.zeros((40, q.TERMS))
+    for k, (t, c) in enumerate(rows):
+        x[k, t] = np.log1p(c)
+    rarity = np.log(41 / (1 + (x > 0).sum(0))) + 1
+    rarity[q.TERMS - q.HASHED :] *= q.WORD_WEIGHT
+    x = x[:, used] * rarity[used]
+    v = np.linalg.svd(x / np.linalg.norm(x, axis=1, keepdims=True), full_matrices=False)[2][:4].T
+    got = model.axes[used] / rarity[used][:, None]
+    assert np.abs(got @ got.T - v @ v.T).max() < 1e-2
+    near = x @ v / np.linalg.norm(x @ v, axis=1, keepdims=True)
+    assert np.abs(model.vectors @ model.vectors.T - near @ near.T).max() < 1e-2
+
+
+def test_one_id_labelled_and_repeated(spark):
+    docs = spark.createDataFrame([(2, "same text"), (2, "same text"), (2, "other, text!")] * 50 + [(4, "four")], "doc_id long, text string")
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, quality int")
+    model = q.train(docs, labels)
+    assert sorted(model.labels.tolist()) == [0, 1]
+
+
 def test_vote_is_the_loop(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     model = q.train(docs, labels)
