@@ -117,6 +117,18 @@ def test_op5_cache_and_odd_rows(spark, library):
     assert token_counts.token_counts(docs.limit(0), cache, PATH).count() == 0
 
 
+def test_op5_hot_content_and_other_tokenizers(spark, monkeypatch):
+    from heptagrid.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    cache = fresh_path(spark, "t")
+    docs = spark.createDataFrame([(k, "the same") for k in range(50)] + [(99, "another one")], "doc_id long, text string")
+    a = token_counts.token_counts(docs, cache, PATH).collect()
+    b = token_counts.token_counts(docs, cache, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(a) == len(b) == 51 and {r.n_tokens for r in a if r.doc_id < 50} == {2}
+    assert spark.read.parquet(cache).groupBy("tokenizer").count().count() == 2 and spark.read.parquet(cache).count() == 4
+
+
 def test_op5_sentencepiece(spark):
     import sentencepiece
 
@@ -178,3 +190,56 @@ def test_best_two_by_hand():
     assert packing._best_two(np.array([2, 3, 5]), np.array([1, 1, 1]), 9, 5) == (5, 3)
     assert packing._best_two(np.array([4]), np.array([1]), 9, 1) is None
     assert packing._best_two(np.array([4]), np.array([2]), 9, 1) == (4, 4)
+
+
+def plain_best_two_fit(lengths, capacity):
+    """Bins of single pieces, as the method says: greedily the longest that fits, then two for the smallest while that helps."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        bin_ = []
+        for n in list(left):
+            if sum(bin_) + n <= capacity:
+                bin_.append(n)
+                left.remove(n)
+        while len(bin_) > 1 and sum(bin_) < capacity:
+            smallest = min(bin_)
+            gap = capacity - sum(bin_) + smallest
+            two = max(((a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= gap), default=(0,))
+            if two[0] <= smallest:
+                break
+            bin_.remove(smallest)
+            left.append(smallest)
+            for n in two[1:]:
+                left.remove(n)
+                bin_.append(n)
+            left.sort(reverse=True)
+        bins.append(sorted(bin_))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_is_best_two_fit(seed):
+    """Bin after bin the same total as the plain method's first bins, until a pattern is used again; and no more bins."""
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(12, 60))
+    lengths = rng.integers(1, capacity + 1, int(rng.integers(1, 60))).tolist()
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    slots, sequences = packing.plan(counts, capacity)
+    bins = defaultdict(list)
+    for n, first, ranks, sequence, uses, _ in slots:
+        for k in range(ranks):
+            bins[sequence + k // uses].append(n)
+    got, want = [sorted(bins[k]) for k in range(sequences)], plain_best_two_fit(lengths, capacity)
+    assert sorted(n for b in got for n in b) == sorted(lengths) and all(sum(b) <= capacity for b in got)
+    assert sum(got[0]) == sum(want[0]) and len(got) <= len(want) + 1
+    if len(set(lengths)) == len(lengths):
+        assert [sum(b) for b in got] == [sum(b) for b in want]
+
+
+def test_plan_replaces_the_smallest_by_two():
+    for lengths in ([60, 30, 7, 6, 33], [50, 40, 5, 8, 2, 45], [9, 5, 4, 3, 2], [70, 20, 12, 17, 1]):
+        slots, sequences = packing.plan({n: 1 for n in lengths}, 100 if max(lengths) > 9 else 14)
+        bins = defaultdict(list)
+        for n, _, _, sequence, _, _ in slots:
+            bins[sequence].append(n)
+        assert [sorted(bins[k]) for k in range(sequences)] == plain_best_two_fit(lengths, 100 if max(lengths) > 9 else 14)
