@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 DIGITS = 20
 PAD = 7
+#: The lowest bit of every digit, and all bits of the digits.
+ONES = int("1" * DIGITS, 8)
+BODY = (1 << 3 * DIGITS) - 1
 
 
 def _shift(i: int) -> int:
@@ -30,12 +33,20 @@ def digits(cell: Column) -> Column:
     return F.array(*[digit(cell, i) for i in range(1, DIGITS + 1)])
 
 
+def _pads(cell: Column) -> Column:
+    """The lowest bits of the digits that are 7."""
+    return cell.bitwiseAND(F.shiftrightunsigned(cell, 1)).bitwiseAND(F.shiftrightunsigned(cell, 2)).bitwiseAND(F.lit(ONES))
+
+
+def _first(marks: Column) -> Column:
+    """Digits before the first one whose lowest bit is marked; only where there is one."""
+    return F.lit(DIGITS - 1) - ((F.length(F.bin(marks)) - 1) / 3).cast("int")
+
+
 def resolution(cell: Column) -> Column:
-    """Digits before the first 7."""
-    found = F.lit(DIGITS)
-    for i in range(DIGITS, 0, -1):
-        found = F.when(digit(cell, i) == PAD, F.lit(i - 1)).otherwise(found)
-    return F.when(cell.isNotNull(), found)
+    """Digits before the first 7; null for null."""
+    pads = _pads(cell)
+    return F.when(pads == 0, F.lit(DIGITS)).when(pads != 0, _first(pads))
 
 
 def pack(base: Column, parts: list[Column]) -> Column:
@@ -70,10 +81,8 @@ def parent(cell: Column, level: int = -1) -> Column:
 
 def first_non_zero(cell: Column) -> Column:
     """The place of the first digit that isn't 0, padding included; 0 for a base cell, and where all 20 are 0."""
-    found = F.lit(0)
-    for i in range(DIGITS, 0, -1):
-        found = F.when(digit(cell, i) != 0, F.lit(i)).otherwise(found)
-    return F.when(digit(cell, 1) == PAD, F.lit(0)).otherwise(found)
+    some = cell.bitwiseOR(F.shiftrightunsigned(cell, 1)).bitwiseOR(F.shiftrightunsigned(cell, 2)).bitwiseAND(F.lit(ONES))
+    return F.when((some == 0) | (digit(cell, 1) == PAD), F.lit(0)).when(some != 0, _first(some) + 1)
 
 
 def to_hex(cell: Column) -> Column:
@@ -92,20 +101,19 @@ def from_uint64(number: Column) -> Column:
 
 def hex_resolution(text: Column) -> Column:
     """The number of digits under 7, wherever they are; on malformed ids not the same as :func:`resolution`."""
-    cell = from_hex(text)
-    return sum((F.when(digit(cell, i) < PAD, F.lit(1)).otherwise(F.lit(0)) for i in range(1, DIGITS + 1)), F.lit(0))
+    return F.lit(DIGITS) - F.bit_count(_pads(from_hex(text)))
 
 
 def to_string(cell: Column) -> Column:
     """Two decimal digits of base cell, then the digits."""
-    text = F.array_join(F.slice(digits(cell).cast("array<string>"), F.lit(1), resolution(cell)), "")
-    return F.concat(F.lpad(base_cell(cell).cast("string"), 2, "0"), text)
+    octal = F.lpad(F.conv(cell.bitwiseAND(F.lit(BODY)).cast("string"), 10, 8), DIGITS, "0")
+    return F.concat(F.lpad(base_cell(cell).cast("string"), 2, "0"), F.left(octal, resolution(cell)))
 
 
 def from_string(text: Column) -> Column:
-    parts = [F.substring(text, 2 + i, 1) for i in range(1, DIGITS + 1)]
-    parts = [F.when(p == "", F.lit(PAD)).otherwise(F.try_to_number(p, F.lit("9")).cast("int")) for p in parts]
-    return pack(F.substring(text, 1, 2).cast("int"), parts)
+    """Null for what isn't two decimal digits and then digits up to 7; digits after the twentieth don't count."""
+    body = F.conv(F.rpad(F.substring(text, 3, DIGITS), DIGITS, str(PAD)), 8, 10).cast("long")
+    return F.when(text.rlike("^[0-9]{2}[0-7]*$"), F.shiftleft(F.substring(text, 1, 2).try_cast("long"), 60).bitwiseOR(body))
 
 
 def hex_to_string(text: Column) -> Column:

@@ -94,4 +94,5 @@ def centroid_distance(cls: Column) -> Column:
 
 
 def clipper_scale_factor(level: Column) -> Column:
-    return F.when(level <= 8, F.lit(10**6)).when(level <= 11, F.lit(10**7)).otherwise(F.lit(10**8)).cast("long")
+    """Null for null."""
+    return F.when(level <= 8, F.lit(10**6)).when(level <= 11, F.lit(10**7)).when(level > 11, F.lit(10**8)).cast("long")

@@ -7,18 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codec, stats
 from ..functions.geodesy import geodesic_struct
-from .neighbours import edges, ring
+from .neighbours import edges, is_pentagon, ring
 
 #: Directions of each axis: its positive end, then its negative one.
 AXES = {"k": (1, 6), "j": (2, 5), "i": (4, 3)}
 PARENT_LEVEL = 4
-
+MODEL_ROWS = 10 * 7**PARENT_LEVEL + 2
 
 #: Levels between a cell and the block that it is worked on in: up to 16,807 cells, and some three percent around them.
 BLOCK_LEVELS = 5
@@ -30,8 +31,11 @@ def gather(df: DataFrame, level: int, value: str = "value", cell: str = "cell")
 
     One exchange: each row goes to its block, and those at a block's edge, as id and value alone, to the blocks of their
     neighbours too, who are the ones that ask for them, as being neighbours goes both ways. Blocks are then worked on one
-    at a time. An id that comes twice is asked for with the largest of its values.
+    at a time. An id that comes twice is asked for with the largest of its values; a block's rows are held together, so ids that
+    repeat without bound are to be aggregated first. Rows whose cell is null have no neighbours; they are dealt to all tasks, and
+    not held. Columns named like the ones added are replaced.
     """
+    df = df.drop(*[c for c in (*RING, "n_nbrs") if c not in (value, cell)])
     names = df.columns
     at, shift = names.index(cell), np.uint64(3 * (codec.DIGITS - max(level - BLOCK_LEVELS, 0)))
     fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
@@ -47,7 +51,8 @@ def gather(df: DataFrame, level: int, value: str = "value", cell: str = "cell")
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, known = ids(batch.column(at)), batch.column(at).is_valid().to_numpy(zero_copy_only=False)
-            own = block(cells)
+            # no block of a cell is negative
+            own = np.where(known, block(cells), -1 - np.arange(len(cells)) % 997 - 997 * TaskContext.get().partitionId())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(own), pa.array(np.ones(len(own), bool)), batch.columns[-1]], names=[*names, "__block", "__own", "__h"]
             )
@@ -86,6 +91,9 @@ def gather(df: DataFrame, level: int, value: str = "value", cell: str = "cell")
             blocks = batch.column(len(names)).to_numpy()
             cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
             for a, b in zip(cuts, cuts[1:]):
+                if b > a and blocks[a] < 0:
+                    yield from work(pa.Table.from_batches([batch.slice(a, b - a)]))
+                    continue
                 if held and b > a and held[0].column(len(names))[0].as_py() != blocks[a]:
                     yield from work(pa.Table.from_batches(held))
                     held = []
@@ -115,29 +123,65 @@ def distortion_model(lookup: DataFrame, parent: str = "parent") -> DataFrame:
 
 def with_distances(df: DataFrame, level: int, model: DataFrame | None = None, cell: str = "cell") -> DataFrame:
     """Adds d_k, d_j, d_i: the level's centroid distance, times the weights of the cell's ancestor at level 4, or 1 where the
-    model has none. The model has a row a parent, so no more than there are cells of level 4: 24,012."""
+    model has none. A parent that the model has twice counts with its least weights. The model is sent to all tasks if it has no
+    more rows than there are cells of level 4, and joined by key otherwise."""
     base = stats.cls_m(level) * stats.CENTROID_FACTOR
     if model is None:
         return df.withColumns({f"d_{a}": F.lit(base) for a in AXES})
-    joined = df.withColumn("parent", codec.parent_at(F.col(cell), PARENT_LEVEL)).join(F.broadcast(model.dropDuplicates(["parent"])), "parent", "left")
-    return joined.withColumns({f"d_{a}": F.lit(base) * F.coalesce(f"w_{a}", F.lit(1.0)) for a in AXES}).drop("parent", "w_k", "w_j", "w_i")
+    found = model.groupBy(F.col("parent").alias("__parent")).agg(*[F.min(f"w_{a}").alias(f"__w_{a}") for a in AXES])
+    if found.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS:
+        found = F.broadcast(found)
+    joined = df.withColumn("__parent", codec.parent_at(F.col(cell), PARENT_LEVEL)).join(found, "__parent", "left")
+    return joined.withColumns({f"d_{a}": F.lit(base) * F.coalesce(f"__w_{a}", F.lit(1.0)) for a in AXES}).drop("__parent", *[f"__w_{a}" for a in AXES])
 
 
-def with_geodesic_distances(df: DataFrame, centroids: DataFrame, cell: str = "cell", skip_missing: bool = False) -> DataFrame:
-    """Adds d_k, d_j, d_i, each the mean of the distances to both ends of its axis. centroids: cell, lon, lat.
+def directions(df: DataFrame, centroids: DataFrame, cell: str = "cell") -> DataFrame:
+    """cell, dir, nbr, distance (m) and bearing (degrees, -180 to 180) from each cell to its neighbours. centroids: cell, lon, lat.
 
-    An axis with an end missing is null; with ``skip_missing`` the other end's distance counts alone.
+    A row per cell of df and direction that has a cell; distance and bearing are null where a centroid is missing. Cells are
+    taken once, null ones not at all; of a cell's centroids the least counts.
     """
-    pairs = edges(df.select(cell), cell).where("nbr IS NOT NULL")
-    here = centroids.select(F.col("cell").alias(cell), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
-    there = centroids.select(F.col("cell").alias("nbr"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    far = pairs.join(here, cell).join(there, "nbr").withColumn("d", geodesic_struct(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))["distance"])
-    ends = far.groupBy(cell).agg(*[F.max(F.when(F.col("dir") == k, F.col("d"))).alias(f"e{k}") for k in range(1, 7)])
-    mean = {}
+    pairs = edges(df.select(F.col(cell).alias("cell")).dropna().distinct()).where("nbr IS NOT NULL")
+    known = centroids.groupBy("cell").agg(F.min(F.struct("lon", "lat")).alias("at"))
+    here = known.select("cell", F.col("at.lon").alias("x1"), F.col("at.lat").alias("y1"))
+    there = known.select(F.col("cell").alias("nbr"), F.col("at.lon").alias("x2"), F.col("at.lat").alias("y2"))
+    far = pairs.join(here, "cell", "left").join(there, "nbr", "left")
+    far = far.withColumn("g", geodesic_struct(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+    return far.select("cell", "dir", "nbr", "g.distance", (F.pmod(F.col("g.azimuth") + 180, F.lit(360.0)) - 180).alias("bearing"))
+
+
+def axis_distances(df: DataFrame, centroids: DataFrame, cell: str = "cell", skip_missing: bool = False) -> DataFrame:
+    """cell, d_k, d_j, d_i: a row per cell, each axis' mean of the distances to both its ends. An axis with an end missing is
+    null; with ``skip_missing`` the other end's distance counts alone."""
+    far = directions(df, centroids, cell)
+    ends = far.groupBy("cell").agg(*[F.max(F.when(F.col("dir") == k, F.col("distance"))).alias(f"e{k}") for k in range(1, 7)])
+    mean = []
     for axis, (a, b) in AXES.items():
         both = (F.col(f"e{a}") + F.col(f"e{b}")) / 2
-        mean[f"d_{axis}"] = F.coalesce(both, f"e{a}", f"e{b}") if skip_missing else both
-    return df.join(ends, cell, "left").withColumns(mean).drop(*[f"e{k}" for k in range(1, 7)])
+        mean.append((F.coalesce(both, f"e{a}", f"e{b}") if skip_missing else both).alias(f"d_{axis}"))
+    return ends.select("cell", *mean)
+
+
+def with_geodesic_distances(df: DataFrame, centroids: DataFrame, cell: str = "cell", skip_missing: bool = False) -> DataFrame:
+    """Adds d_k, d_j, d_i of :func:`axis_distances`."""
+    found = axis_distances(df, centroids, cell, skip_missing).withColumnRenamed("cell", "__at")
+    return df.join(found, F.col(cell) == F.col("__at"), "left").drop("__at")
+
+
+def axis_sweep(df: DataFrame, centroids: DataFrame, cell: str = "cell") -> DataFrame:
+    """cell, d_k, d_j, d_i and :func:`axis_metrics` of all cells of df but pentagons; ends without a centroid don't count."""
+    return axis_metrics(axis_distances(df.where(~is_pentagon(F.col(cell))), centroids, cell, skip_missing=True))
+
+
+def sweep_by_parent(sweep: DataFrame, level: int = PARENT_LEVEL) -> DataFrame:
+    """Per ancestor: n, means and sample deviations of d_k, d_j, d_i, mean_d_geom, mean_squeeze, min_squeeze, and the most
+    frequent squeezed axis, of equals k before j before i. It is the lookup table of a distortion model."""
+    of = [f(f"d_{a}").alias(f"{n}_d_{a}") for a in AXES for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    axes = [F.struct(F.count_if(F.col("squeezed_axis") == a).alias("n"), F.lit(-k).alias("k"), F.lit(a).alias("axis")) for k, a in enumerate(AXES)]
+    return sweep.groupBy(codec.parent_at(F.col("cell"), level).alias("parent")).agg(
+        F.count("*").alias("n"), *of, F.avg("d_geom_mean").alias("mean_d_geom"), F.avg("squeeze_ratio").alias("mean_squeeze"),
+        F.min("squeeze_ratio").alias("min_squeeze"), F.greatest(*axes)["axis"].alias("modal_squeezed_axis"),
+    )
 
 
 def slope_column() -> Column:
@@ -151,17 +195,69 @@ def slope_column() -> Column:
 def slope(
     df: DataFrame, level: int, model: DataFrame | None = None, mode: str = "lookup", centroids: DataFrame | None = None, value: str = "value", cell: str = "cell"
 ) -> DataFrame:
-    """df with slope. mode: lookup (needs a model), isotropic, or geodesic (needs centroids). Lazy; partitions don't matter."""
+    """df with slope. mode: lookup (needs a model), isotropic, or geodesic (needs centroids). Partitions don't matter.
+
+    Null where the value is null or a neighbour is missing, so for pentagons and null cells; NaN where the value is NaN.
+    Repeated rows are each kept; a column named slope is replaced, any other is left as it is. An empty table gives none.
+    """
     if mode not in ("lookup", "isotropic", "geodesic"):
         raise ValueError(f"no mode {mode}")
     if mode == "lookup" and model is None or mode == "geodesic" and centroids is None:
         raise ValueError(f"{mode} needs its table")
-    ringed = gather(df, level, value, cell)
-    with_d = with_geodesic_distances(ringed, centroids, cell) if mode == "geodesic" else with_distances(ringed, level, model if mode == "lookup" else None, cell)
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "slope"]).alias("__row")
+    packed = df.select(whole, F.col(f"`{cell}`").alias("__cell"), F.col(f"`{value}`").cast("double").alias("__value"))
+    ringed = gather(packed, level, "__value", "__cell")
+    if mode == "geodesic":
+        with_d = with_geodesic_distances(ringed, centroids, "__cell")
+    else:
+        with_d = with_distances(ringed, level, model if mode == "lookup" else None, "__cell")
     # heights are differences to the cell's own, so without that, or with NaN, there is none
-    own = F.col(value).cast("double")
+    own = F.col("__value")
     found = F.when(F.isnan(own), F.lit(float("nan"))).when(own.isNotNull(), slope_column())
-    return with_d.withColumn("slope", found).drop("h1", "h2", "h3", "h4", "h5", "h6", "n_nbrs", "d_k", "d_j", "d_i")
+    return with_d.select("__row.*", found.alias("slope"))
+
+
+def slope_variants(df: DataFrame, level: int, centroids: DataFrame, value: str = "value", cell: str = "cell") -> DataFrame:
+    """cell and four slopes of the same heights: by the directions 1 to 4 and 2, 3 to 5, 6 as axes (paper), by this grid's axes,
+    both with the level's characteristic length for distance (axes), with each axis' geodesic distances (geodesic), and of the
+    plane fitted to the six neighbours by distance and bearing (plane). Cells with six neighbours of known height and place."""
+    ringed = gather(df.select(F.col(cell).alias("cell"), F.col(value).cast("double").alias("value")), level).where("n_nbrs = 6 AND value IS NOT NULL")
+    far = directions(df, centroids, cell).groupBy("cell")
+    far = far.agg(*[F.max(F.when(F.col("dir") == k, F.col(c))).alias(f"{c[0]}{k}") for k in range(1, 7) for c in ("distance", "bearing")])
+    h, d = [F.col(f"h{k}") for k in range(1, 7)], [F.col(f"d{k}") for k in range(1, 7)]
+    one, root = F.lit(stats.cls_m(level)), 2 * math.sqrt(3)
+    dy = (d[1] + d[2] + d[3] + d[4]) / 4
+    east = [x * F.sin(F.radians(f"b{k}")) for k, x in enumerate(d, 1)]
+    north = [x * F.cos(F.radians(f"b{k}")) for k, x in enumerate(d, 1)]
+    rise = [x - F.col("value") for x in h]
+    dot = lambda x, y: sum((a * b for a, b in zip(x[1:], y[1:])), x[0] * y[0])
+    ee, nn, en, eh, nh = dot(east, east), dot(north, north), dot(east, north), dot(east, rise), dot(north, rise)
+    det = ee * nn - en * en
+    plane = F.when(det != 0, F.hypot((eh * nn - nh * en) / det, (nh * ee - eh * en) / det))
+    across = h[3] + h[4] - h[1] - h[2]
+    return ringed.join(far, "cell").select(
+        "cell", F.hypot((h[0] - h[3]) / (2 * one), (h[1] + h[2] - h[4] - h[5]) / (root * one)).alias("paper"),
+        F.hypot((h[0] - h[5]) / (2 * one), across / (root * one)).alias("axes"),
+        F.hypot((h[0] - h[5]) / (d[0] + d[5]), across / (root * dy)).alias("geodesic"), plane.alias("plane"),
+    )
+
+
+def relative_error(found: Column, exact: Column, least: float = 1e-9) -> Column:
+    """In percent; null where the exact value is not over the least."""
+    return F.when(exact > least, (found - exact) / exact * 100)
+
+
+def surfaces(df: DataFrame, x: Column, y: Column, east: float, north: float, bend: float) -> DataFrame:
+    """Adds heights and slopes of a tilted plane (plane, plane_slope) and a paraboloid (bowl, bowl_slope) at x, y in metres."""
+    flat = F.lit(math.hypot(east, north))
+    return df.withColumns({"plane": x * east + y * north, "plane_slope": flat, "bowl": (x * x + y * y) * bend, "bowl_slope": F.hypot(x, y) * (2 * abs(bend))})
+
+
+def parity_gap(df: DataFrame, level: str = "level", error: str = "error", most: float = 0.5) -> DataFrame:
+    """One row: even, odd (mean error of the levels of each kind), gap, and whether it is within ``most``."""
+    even = F.pmod(F.col(level), F.lit(2)) == 0
+    found = df.agg(F.avg(F.when(even, F.col(error))).alias("even"), F.avg(F.when(~even, F.col(error))).alias("odd"))
+    return found.withColumn("gap", F.abs(F.col("even") - F.col("odd"))).withColumn("within", F.col("gap") <= most)
 
 
 def slope_degrees(slope_: Column) -> Column:
@@ -179,13 +275,13 @@ def plane_fit(df: DataFrame, key: str, east: str = "east", north: str = "north",
 
 
 def axis_metrics(df: DataFrame) -> DataFrame:
-    """Adds means, extremes, squeeze_ratio (least by geometric mean) and squeezed_axis (k before j before i) of d_k, d_j, d_i."""
+    """Adds means, extremes, squeeze_ratio (least by greatest) and squeezed_axis (k before j before i) of d_k, d_j, d_i."""
     d = [F.col(f"d_{a}") for a in AXES]
     least = F.least(*d)
     axis = F.when(d[0] == least, "k").when(d[1] == least, "j").otherwise("i")
     geom = F.cbrt(d[0] * d[1] * d[2])
     return df.withColumns(
-        {"d_geom_mean": geom, "d_arith_mean": (d[0] + d[1] + d[2]) / 3, "d_min": least, "d_max": F.greatest(*d), "squeeze_ratio": least / geom, "squeezed_axis": F.when(least.isNotNull(), axis)}
+        {"d_geom_mean": geom, "d_arith_mean": (d[0] + d[1] + d[2]) / 3, "d_min": least, "d_max": F.greatest(*d), "squeeze_ratio": least / F.greatest(*d), "squeezed_axis": F.when(least.isNotNull(), axis)}
     )
 
 

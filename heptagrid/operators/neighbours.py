@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.codec import DIGITS, PAD, base_cell, resolution
+from ..functions.codec import BODY, DIGITS, PAD, base_cell, resolution
 from ..functions.mono import EXCLUDED
 
 #: Neighbouring base cells by base cell and direction; at the poles and pentagons some come twice.
@@ -31,11 +31,11 @@ CARRY_CW = (
 CARRY_CCW = (
     (0, 0, 0, 0, 0, 0, 0), (0, 1, 0, 3, 0, 1, 0), (0, 0, 2, 2, 0, 0, 6), (0, 3, 2, 3, 0, 0, 0), (0, 0, 0, 0, 4, 5, 4), (0, 1, 0, 0, 5, 5, 0), (0, 0, 6, 0, 4, 0, 6),
 )
-#: Clockwise digits add modulo 7 under these names.
-CW_NAMES = (0, 1, 4, 5, 2, 3, 6)
-
-DIGIT_CCW = [[(a + b) % 7 for b in range(7)] for a in range(7)]
-DIGIT_CW = [[CW_NAMES.index((CW_NAMES[a] + CW_NAMES[b]) % 7) for b in range(7)] for a in range(7)]
+#: Digits of the addition, clockwise; counter-clockwise it is modulo 7.
+DIGIT_CW = (
+    (0, 1, 2, 3, 4, 5, 6), (1, 4, 3, 6, 5, 2, 0), (2, 3, 1, 4, 6, 0, 5), (3, 6, 4, 5, 0, 1, 2), (4, 5, 6, 0, 2, 3, 1), (5, 2, 0, 1, 3, 6, 4), (6, 0, 5, 2, 1, 4, 3),
+)
+DIGIT_CCW = tuple(tuple((a + b) % 7 for b in range(7)) for a in range(7))
 
 
 def add(a: int, b: int, clockwise: bool) -> tuple[int, int]:
@@ -151,15 +151,19 @@ def neighbour(cell: Column, direction: int, level: int) -> Column:
 
 
 def edges(df: DataFrame, cell: str = "cell") -> DataFrame:
-    """A row per row and direction: dir (1 to 6), nbr (null where there is none)."""
-    return df.select("*", F.posexplode(neighbours(F.col(cell))).alias("pos", "nbr")).withColumn("dir", F.col("pos") + 1).drop("pos")
+    """A row per row and direction: dir (1 to 6), nbr (null where there is none); columns of these names are replaced. A row
+    whose cell is null has none; rows that repeat have theirs each."""
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("dir", "nbr")]
+    found = df.select(*kept, F.posexplode(neighbours(F.col(cell))).alias("__dir", "nbr"))
+    return found.withColumn("__dir", F.col("__dir") + 1).withColumnRenamed("__dir", "dir")
 
 
 def k_ring(df: DataFrame, k: int, cell: str = "cell") -> DataFrame:
-    """Distinct cells at most k steps from any of df's."""
-    found = df.select(cell).distinct()
+    """Distinct cells at most k steps from any of df's; null cells count for nothing. Each step goes on from the one before
+    alone, so the plan grows by one exchange a step, and df is read once."""
+    found = df.select(cell).dropna().distinct()
     for _ in range(k):
-        found = found.union(found.select(F.explode(neighbours(F.col(cell)))).dropna().toDF(cell)).distinct()
+        found = found.select(F.explode(F.array_append(neighbours(F.col(cell)), F.col(cell))).alias(cell)).dropna().distinct()
     return found
 
 
@@ -184,15 +188,23 @@ def base_cell_neighbour(base: int, k: int) -> int | None:
     return kept[k] if 0 <= k < 5 else None
 
 
+def is_pentagon(cell: Column) -> Column:
+    """Whether a direction has no cell: all digits up to the padding are 0. Null for null."""
+    body = cell.bitwiseAND(F.lit(BODY))
+    return (body.bitwiseAND(body + 1) == 0) & (F.bit_count(body) % 3 == 0)
+
+
 def base_of_whole_cell(cell: Column) -> Column:
     """The base cell of an id of resolution 0; an error for others."""
     return F.when(resolution(cell) == 0, base_cell(cell)).otherwise(F.raise_error(F.lit("not a base cell")))
 
 
 def boundary_accounting(df: DataFrame, cell: str = "cell") -> DataFrame:
-    """One row: cells, pentagon (a direction has no cell), out_of_area (a neighbour that df lacks), boundary_only."""
-    area = df.select(F.col(cell).alias("nbr")).withColumn("inside", F.lit(1))
-    joined = edges(df.select(cell), cell).join(area, "nbr", "left")
+    """One row: cells, pentagon (a direction has no cell), out_of_area (a neighbour that df lacks), boundary_only. Cells are
+    counted once, however often they come; null ones aren't. An empty table gives zeros."""
+    cells = df.select(cell).dropna().distinct()
+    area = cells.select(F.col(cell).alias("nbr")).withColumn("inside", F.lit(1))
+    joined = edges(cells, cell).join(area, "nbr", "left")
     per = joined.groupBy(cell).agg(
         F.bool_or(F.col("nbr").isNull()).alias("pentagon"), F.bool_or(F.col("nbr").isNotNull() & F.col("inside").isNull()).alias("out")
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, geodesy, latitudes, mono, stats
-from ..operators import focal, neighbours, ranges, zonal
+from ..operators import focal, neighbours, ranges, tables, zonal
 from ..sources import archive
+from ..staging import fresh_path
 
 #: Events are cells of one subtree of level 7; orders are spread over the earth at level 6.
 AOI_LEVEL, AOI_START = 7, 941192
@@ -517,8 +516,241 @@ def geodesic_distance(spark, d):
 
 @query
 def archive_round_trip(spark, d):
-    """Written to and read from a folder of the session's checkpoint directory, else of its warehouse."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{top.rstrip('/')}/heptagrid-archive-{uuid.uuid4().hex}"
+    """Written to and read from the shared folder."""
+    path = fresh_path(spark, "archive")
     archive.write_archive(holes(spark, d), path, AOI_LEVEL, ["event_id", "value"], "ranges")
     return archive.open_archive(spark, path)
+
+
+@query
+def archive_dense(spark, d):
+    path = fresh_path(spark, "archive")
+    archive.write_archive(holes(spark, d), path, AOI_LEVEL, ["event_id", "value"])
+    return archive.open_archive(spark, path)
+
+
+@query
+def archive_append(spark, d):
+    first, second = fresh_path(spark, "archive"), fresh_path(spark, "archive")
+    archive.write_archive(aoi(spark, d), first, AOI_LEVEL, ["event_id"], "ranges")
+    archive.append_variables(spark, first, second, holes(spark, d), ["value"])
+    return archive.open_archive(spark, second)
+
+
+@query
+def archive_metadata(spark, d):
+    path = fresh_path(spark, "archive")
+    archive.write_archive(holes(spark, d), path, AOI_LEVEL, ["value"], "ranges")
+    meta = archive.read_metadata(spark, path)
+    row = (meta["name"], meta["refinement_level"], meta["compression"], meta["rotation_pattern"], meta["cell_ids"]["level"], meta["cell_ids"]["igeo7_dggs_vert0_lon"])
+    return spark.createDataFrame([row], "name string, level int, compression string, rotation string, coordinate_level int, vertex double")
+
+
+def _sink(kind):
+    def run(spark, d):
+        path = fresh_path(spark, "table")
+        archive.write_table(zonal.value_share(aoi(spark, d), "event_type").select("event_type", "n"), path, kind)
+        return archive.read_table(spark, path, "event_type string, n bigint", kind)
+
+    return run
+
+
+for _k in archive.SINKS:
+    QUERIES[f"sink_{_k}"] = _sink(_k)
+
+
+@query
+def regrid_pipeline(spark, d):
+    """Pixels with values for no data, to means by cell, to an archive, and back."""
+    path = fresh_path(spark, "archive")
+    rows = pixels(spark, d).withColumn("q", tables.missing(F.col("q"), 50.0))
+    means = zonal.zonal_mean(rows, ["mono"], "q").withColumn("cell", mono.from_mono(F.col("mono"), AOI_LEVEL))
+    archive.write_archive(means, path, AOI_LEVEL, ["mean"], "ranges")
+    return archive.open_archive(spark, path).select("cell", F.round(F.col("mean").cast("double"), 3).alias("mean"))
+
+
+def centroids(spark, d) -> DataFrame:
+    """A place for every cell of the area, made from its number."""
+    k = F.col("mono")
+    return aoi(spark, d).select("event_id", "mono", "cell", "value", (F.pmod(k, F.lit(997)) * 0.003 + 24).alias("lon"), (F.pmod(k * 7919, F.lit(991)) * 0.002 + 58).alias("lat"))
+
+
+@query
+def direction_geodesics(spark, d):
+    found = focal.directions(holes(spark, d), centroids(spark, d).select("cell", "lon", "lat"))
+    return found.select("cell", "dir", "nbr", F.round("distance", 2).alias("distance"), F.round("bearing", 2).alias("bearing"))
+
+
+@query
+def slope_geodesic(spark, d):
+    found = focal.slope(holes(spark, d), AOI_LEVEL, mode="geodesic", centroids=centroids(spark, d).select("cell", "lon", "lat"))
+    return found.select("event_id", F.round("slope", 6).alias("slope"))
+
+
+@query
+def slope_variants(spark, d):
+    found = focal.slope_variants(holes(spark, d), AOI_LEVEL, centroids(spark, d).select("cell", "lon", "lat"))
+    return found.select("cell", *[F.round(c, 6).alias(c) for c in ("paper", "axes", "geodesic")], F.round("plane", 3).alias("plane"))
+
+
+@query
+def axis_sweep(spark, d):
+    found = focal.axis_sweep(holes(spark, d), centroids(spark, d).select("cell", "lon", "lat"))
+    return found.select("cell", F.round("d_geom_mean", 2).alias("geom"), F.round("squeeze_ratio", 6).alias("squeeze"), "squeezed_axis")
+
+
+@query
+def axis_sweep_by_parent(spark, d):
+    found = focal.sweep_by_parent(focal.axis_sweep(holes(spark, d), centroids(spark, d).select("cell", "lon", "lat")))
+    rounded = [F.round(c, 2).alias(c) for c in ("mean_d_k", "std_d_k", "mean_d_j", "mean_d_i", "mean_d_geom")]
+    return found.select("parent", "n", *rounded, F.round("mean_squeeze", 6).alias("mean_squeeze"), F.round("min_squeeze", 6).alias("min_squeeze"), "modal_squeezed_axis")
+
+
+@query
+def lookup_table_sink(spark, d):
+    """The sweep as a lookup table, written, read, and made a model of."""
+    path = fresh_path(spark, "lookup")
+    archive.write_table(focal.sweep_by_parent(focal.axis_sweep(holes(spark, d), centroids(spark, d).select("cell", "lon", "lat"))), path)
+    model = focal.distortion_model(archive.read_table(spark, path, "parent bigint, mean_d_k double, mean_d_j double, mean_d_i double, mean_d_geom double"))
+    return model.select("parent", *[F.round(f"w_{a}", 6).alias(f"w_{a}") for a in "kji"])
+
+
+@query
+def synthetic_surfaces(spark, d):
+    x, y = geodesy.local_xy(F.col("lon"), F.col("lat"), 25.5, 59.0)
+    found = focal.surfaces(centroids(spark, d), x, y, 0.05, 0.03, 1e-6)
+    return found.select("event_id", *[F.round(c, 4).alias(c) for c in ("plane", "plane_slope", "bowl", "bowl_slope")])
+
+
+@query
+def relative_errors(spark, d):
+    """Slopes found on the tilted plane against the exact one."""
+    x, y = geodesy.local_xy(F.col("lon"), F.col("lat"), 25.5, 59.0)
+    tilted = focal.surfaces(centroids(spark, d), x, y, 0.05, 0.03, 1e-6)
+    found = focal.slope(tilted, AOI_LEVEL, mode="isotropic", value="plane").withColumn("error", focal.relative_error(F.col("slope"), F.col("plane_slope")))
+    return found.agg(F.count("error").alias("n"), F.round(F.avg("error"), 4).alias("mean"), F.round(F.max("error"), 4).alias("most"))
+
+
+@query
+def parity_check(spark, d):
+    rows = read(spark, d, "orders").select(F.pmod("o_orderkey", F.lit(4)).alias("level"), (F.col("o_totalprice") / 1000).alias("error"))
+    return focal.parity_gap(rows).select(F.round("even", 6).alias("even"), F.round("odd", 6).alias("odd"), F.round("gap", 6).alias("gap"), "within")
+
+
+@query
+def distance_ratio(spark, d):
+    one = F.lit(stats.cls_m(5))
+    return read(spark, d, "part").select("p_partkey", F.round(F.greatest(F.col("p_retailprice") * 60, one) / F.least(F.col("p_retailprice") * 60, one), 9).alias("ratio"))
+
+
+@query
+def nodata_to_missing(spark, d):
+    x = tables.missing(F.col("q"), 50.0)
+    return pixels(spark, d).agg(F.count("*").alias("n"), F.count(x).alias("known"), F.round(F.avg(x), 6).alias("mean"))
+
+
+@query
+def hex_cells_only(spark, d):
+    return mono.all_cells(spark, 4).where(~neighbours.is_pentagon(F.col("cell"))).select("mono", "cell")
+
+
+@query
+def cells_by_list_and_prefix(spark, d):
+    text = codec.to_string(F.col("cell"))
+    return earth(spark, d).where(text.startswith("03") | codec.base_cell(F.col("cell")).isin(5, 7)).select("o_orderkey", text.alias("text"))
+
+
+@query
+def nearest_centroid(spark, d):
+    return tables.nearest(centroids(spark, d), 25.1234, 58.7654).select("event_id", "lon", "lat")
+
+
+@query
+def rows_at_positions(spark, d):
+    offsets = ranges.range_offsets(ranges.find_ranges(holes(spark, d)))
+    return ranges.at_positions(holes(spark, d), offsets, 200, 700).select("event_id", "mono")
+
+
+@query
+def halo_amplification(spark, d):
+    offsets = ranges.range_offsets(ranges.find_ranges(holes(spark, d)))
+    return ranges.halo_amplification(holes(spark, d), offsets, AOI_LEVEL, CHUNK).withColumn("amplification", F.round("amplification", 9))
+
+
+@query
+def find_distinct_ranges(spark, d):
+    return ranges.find_distinct_ranges(pixels(spark, d))
+
+
+@query
+def cells_with_parent_summary(spark, d):
+    summary = zonal.roll_up(holes(spark, d), codec.parent_at(F.col("cell"), 5), ["value"]).where("n > 40")
+    return tables.with_parent(aoi(spark, d).select("event_id", "cell"), summary, 5).select("event_id", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query
+def reindex_to_order(spark, d):
+    order = pixels(spark, d).select("mono").distinct().withColumn("place", F.pmod(F.col("mono") * 31, F.lit(101)))
+    return tables.reindex(holes(spark, d).select("mono", "event_id"), order, "mono")
+
+
+@query
+def distinct_pairs(spark, d):
+    return tables.distinct_pairs(read(spark, d, "lineitem"), "l_suppkey", "l_returnflag")
+
+
+@query
+def median_of_repeats(spark, d):
+    found = tables.medians(read(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_extendedprice")
+    return found.withColumn("median", F.round("median", 6))
+
+
+@query
+def describe_values(spark, d):
+    found = tables.describe(aoi(spark, d), "value")
+    return found.select("count", *[F.round(c, 6).alias(c) for c in found.columns if c != "count"])
+
+
+@query
+def children_listed(spark, d):
+    rows = tables.listed(earth(spark, d).select(mono.parent_mono(F.col("mono")).alias("parent"), "mono"), "parent", "mono")
+    return rows.select("parent", F.array_join(F.col("values").cast("array<string>"), ",").alias("children"))
+
+
+@query
+def raw_id_gaps(spark, d):
+    return tables.id_gaps(holes(spark, d))
+
+
+@query
+def set_differences(spark, d):
+    """Children of the parents of all cells that are there, against the cells: what is not in both."""
+    parents = holes(spark, d).select(mono.parent_mono(F.col("mono")).alias("m")).distinct()
+    return tables.differences(mono.descendants(parents, "m", 1, "mono").select("mono"), holes(spark, d).select("mono"))
+
+
+@query
+def terrain_shares(spark, d):
+    rows = aoi(spark, d).withColumn("terrain", zonal.terrain_class(F.col("value") / 10))
+    return zonal.value_share(rows, "terrain").select("terrain", "n", F.round(F.col("share") * 100, 6).alias("percent"))
+
+
+@query
+def k_ring_of_area(spark, d):
+    return neighbours.k_ring(holes(spark, d), 1)
+
+
+@query
+def find_resolution_other_metrics(spark, d):
+    x = F.abs("c_acctbal") + 1
+    return read(spark, d, "customer").select("c_custkey", stats.find_resolution_by_area_m2(x, "larger").alias("by_area"), stats.find_resolution_by_num_cells(x.cast("long") * 100).alias("by_count"))
+
+
+@query
+def neighbour_positions(spark, d):
+    """How far in the archive's order a cell's neighbours are at most, and the cell of which that is the furthest."""
+    offsets = ranges.range_offsets(ranges.find_ranges(holes(spark, d)))
+    own = ranges.positions(holes(spark, d).select("event_id", "mono", "cell"), offsets)
+    near = neighbours.edges(own).where("nbr IS NOT NULL").select("event_id", F.col("position").alias("at"), mono.to_mono(F.col("nbr"), AOI_LEVEL).alias("mono"))
+    far = ranges.positions(near, offsets).where("position >= 0").groupBy("event_id").agg(F.max(F.abs(F.col("position") - F.col("at"))).alias("spread"))
+    return far.agg(F.max("spread").alias("most"), F.min(F.struct((-F.col("spread")).alias("s"), F.col("event_id").alias("e")))["e"].alias("where_most"), F.min("spread").alias("least"))

@@ -2,7 +2,7 @@
 
     path/cells    mono, variables (and cell, if compression is none or dense ids are asked for), in ranges of mono
     path/ranges   start, end, n, offset (compression ranges)
-    path/dggs     the metadata
+    path/dggs     the metadata, in its block coordinate the attributes of the ids
 
 All three are written and read by Spark, so a path may be in any store that it knows.
 """
@@ -19,16 +19,24 @@ from ..operators import ranges as R
 
 COMPRESSIONS = ("none", "ranges")
 ELLIPSOID = {"name": "wgs84", "semimajor_axis": 6378137.0, "inverse_flattening": 298.257223563}
+#: The longitude of the grid's first vertex, and by which level digits turn which way.
 VERTEX_LON = 11.2
+ROTATION = "alternating_cw_odd_ccw_even"
+SINKS = ("parquet", "csv", "json")
 
 
 def metadata(level: int, compression: str, vert0_lon: float = VERTEX_LON, vert0_lat: float = 58.28252559, vert0_azimuth: float = 0.0, extra: dict | None = None) -> dict:
     return {
         "name": "igeo7", "refinement_level": level, "spatial_dimension": "cells", "coordinate": "cell_ids", "compression": compression,
         "ellipsoid": ELLIPSOID, "dggs_vert0_lon": vert0_lon, "dggs_vert0_lat": vert0_lat, "dggs_vert0_azimuth": vert0_azimuth,
+        "rotation_pattern": ROTATION, "cell_ids": coordinate_attributes(level, vert0_lon),
     } | (extra or {})
 
 
+def coordinate_attributes(level: int, vert0_lon: float = VERTEX_LON) -> dict:
+    return {"grid_name": "igeo7", "level": level, "igeo7_dggs_vert0_lon": vert0_lon, "igeo7_wgs84_geodetic_conversion": True}
+
+
 def write_archive(
     df: DataFrame, path: str, level: int, variables: list[str], compression: str = "none", dense_ids: bool = False, cell: str = "cell", **attrs
 ) -> None:
@@ -53,6 +61,29 @@ def write_archive(
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/dggs")
 
 
+def append_variables(spark: SparkSession, path: str, out: str, df: DataFrame, variables: list[str], cell: str = "cell") -> None:
+    """The archive at a path, written to another with df's variables by cell; null where df lacks a cell, and those of the same
+    name replaced. df's cells are not repeated."""
+    meta = read_metadata(spark, path)
+    before = open_archive(spark, path)
+    kept = [c for c in before.columns if c not in ("mono", *variables)]
+    rows = before.select(*kept).join(df.select(F.col(cell).alias("cell"), *variables), "cell", "left")
+    dense = "cell" in spark.read.parquet(f"{path}/cells").columns
+    names = [c for c in kept if c != "cell"]
+    write_archive(rows, out, meta["refinement_level"], [*names, *variables], meta["compression"], dense)
+
+
+def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """A table of results, or a lookup table, as a folder of files of a kind; refuses a path that is there."""
+    if kind not in SINKS:
+        raise ValueError(f"no sink {kind}")
+    df.write.format(kind).mode("error").options(**({"header": True} if kind == "csv" else {})).save(path)
+
+
+def read_table(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    return spark.read.format(kind).options(**({"header": True} if kind == "csv" else {})).schema(schema).load(path)
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict:
     """Defaults where an older archive says nothing."""
     found = json.loads(spark.read.text(f"{path}/dggs", wholetext=True).first()[0])
@@ -81,7 +112,7 @@ def read_zone(df: DataFrame, ancestor: int, levels: int) -> DataFrame:
 
 
 def select_cells(df: DataFrame, cells: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows of the cells given; strict: an error if any is missing."""
+    """Rows of the cells given, each once however often it is asked for; strict: an error if any is missing."""
     if strict and cells.join(df, "mono", "left_anti").limit(1).count():
         raise KeyError("a cell is not in the archive")
     return df.join(cells.select("mono").distinct(), "mono", "left_semi")

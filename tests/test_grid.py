@@ -206,23 +206,118 @@ def test_gather_is_the_join(spark, level, monkeypatch):
 
 
 def test_dominance_and_metrics(spark):
-    rows = [(5.2, 0.5, 5.5, 0.6, 5.0, 0.4), (3.1, 0.4, 2.9, 0.5, 3.0, 0.3), (10.0, 1.2, 4.0, 0.8, 4.5, 0.7), (1.0, 0.01, 5.0, 0.1, 5.0, 0.1)]
+    rows = [(6.1, 0.4, 6.3, 0.5, 6.0, 0.6), (2.2, 0.3, 2.1, 0.4, 2.3, 0.3), (12.0, 1.3, 5.0, 0.9, 5.5, 0.6), (1.5, 0.02, 7.0, 0.1, 7.0, 0.1)]
     df = spark.createDataFrame(rows, "mean_d_i double, std_d_i double, mean_d_j double, std_d_j double, mean_d_k double, std_d_k double")
     assert [r.axis for r in focal.dominant_axis(df).collect()] == [None, None, "i", "j"]
     assert [r.axis for r in focal.dominant_axis(df, use_std=True, std_mult=5.0).collect()] == [None] * 4
     assert [(r.axis, r.side) for r in focal.dominant_axis_twosided(df).collect()] == [(None, None), (None, None), ("i", "high"), ("i", "low")]
     m = focal.axis_metrics(spark.createDataFrame([(1.0, 1.0, 8.0)], "d_k double, d_j double, d_i double")).first()
-    assert m.squeezed_axis == "k" and abs(m.d_geom_mean - 2) < 1e-12 and m.squeeze_ratio == 0.5
+    assert m.squeezed_axis == "k" and abs(m.d_geom_mean - 2) < 1e-12 and m.squeeze_ratio == 0.125
     fit = focal.plane_fit(spark.createDataFrame([(1, x, y, 3 * x - 4 * y) for x, y in ((1.0, 0.0), (0.0, 1.0), (2.0, 5.0))], "k int, east double, north double, dh double"), "k").first()
     assert abs(fit.a - 3) < 1e-9 and abs(fit.b + 4) < 1e-9 and abs(fit.slope - 5) < 1e-9
 
 
+def test_geodesics_between_nearly_opposite_points():
+    """Published distances and azimuths of geodesics for which iteration doesn't settle, and both solvers against each other."""
+    r = np.radians
+    inverse = lambda *p: geodesy.vincenty(*(r(np.array([x], float)) for x in p))
+    for lon, lat, distance, azimuth in ((179.5, 0.5, 19936288.579, 25.671873), (179.7, 0.5, 19944127.421, 15.556883), (180, 0, 20003931.4586, None)):
+        d, a = inverse(0, 0, lon, lat)
+        assert abs(d[0] - distance) < 1e-3 and (azimuth is None or abs(a[0] - azimuth) < 1e-5)
+    rng = np.random.default_rng(0)
+    lat, lon = rng.uniform(-89, 89, (2, 3000)), rng.uniform(-180, 180, (2, 3000))
+    d, a = geodesy.vincenty(r(lon[0]), r(lat[0]), r(lon[1]), r(lat[1]))
+    reduced = [np.arctan((1 - geodesy.FLAT) * np.tan(r(y))) for y in lat]
+    d2, a2 = geodesy.opposite(*reduced, r(lon[1] - lon[0]))
+    assert np.abs(d - d2).max() < 1e-5 and np.abs((a - a2 + 180) % 360 - 180).max() < 1e-7
+    x = rng.uniform(-1, 1, (3, 2000))
+    there = geodesy.vincenty(*r([0 * x[0], x[0] * 80, 180 + x[1], x[2] - x[0] * 80]))[0]
+    back = geodesy.vincenty(*r([180 + x[1], x[2] - x[0] * 80, 0 * x[0], x[0] * 80]))[0]
+    assert np.isfinite(there).all() and np.abs(there - back).max() < 1e-5
+
+
+def test_geodesic_slope_of_a_regular_grid_is_isotropic_slope(spark):
+    """Where all centroids are as far apart as the level's, both modes agree; directions and sweep keep what is missing apart."""
+    df = mono.all_cells(spark, 2).withColumn("value", (F.col("mono") % 31).cast("double"))
+    places = df.select("cell", F.pmod("mono", F.lit(360)).cast("double").alias("lon"), (F.pmod(F.col("mono") * 7, F.lit(179)) - 89).cast("double").alias("lat"))
+    far = {(r.cell, r.dir): (r.nbr, r.distance, r.bearing) for r in focal.directions(df, places.where("lon <> 7")).collect()}
+    at = {r.cell: (r.lon, r.lat) for r in places.collect()}
+    assert len(far) == 6 * df.count() - 12
+    gone = {c for c, (x, _) in at.items() if x == 7}
+    for (c, _), (n, d, b) in far.items():
+        if c in gone or n in gone:
+            assert d is None and b is None
+        else:
+            want, turn = geodesy.vincenty(*(np.radians(np.array([v])) for v in (*at[c], *at[n])))
+            assert abs(d - want[0]) < 1e-3 and abs((b - turn[0] + 180) % 360 - 180) < 1e-6 and -180 <= b < 180
+    slopes = {r.cell: r.slope for r in focal.slope(df, 2, mode="geodesic", centroids=places).collect()}
+    h = {r.cell: r.value for r in df.collect()}
+    ends = {}
+    for (c, k), (n, d, _) in {(r.cell, r.dir): (r.nbr, r.distance, 0) for r in focal.directions(df, places).collect()}.items():
+        ends.setdefault(c, {})[k] = (h[n], d)
+    for c, e in ends.items():
+        if len(e) < 6:
+            assert slopes[c] is None
+            continue
+        dx = (e[1][0] - e[6][0]) / (e[1][1] + e[6][1])
+        dy = (e[4][0] + e[5][0] - e[2][0] - e[3][0]) / (math.sqrt(3) * ((e[2][1] + e[5][1]) / 2 + (e[4][1] + e[3][1]) / 2))
+        assert abs(slopes[c] - math.hypot(dx, dy)) < 1e-9
+    assert focal.axis_sweep(df, places).count() == df.count() - 12
+
+
+def test_pentagons(spark):
+    for level in (0, 1, 3):
+        rows = mono.all_cells(spark, level).withColumn("p", neighbours.is_pentagon(F.col("cell"))).withColumn("n", neighbours.neighbours(F.col("cell"))).collect()
+        assert all(r.p == (None in r.n) for r in rows) and sum(r.p for r in rows) == 12
+    assert one(spark, a=neighbours.is_pentagon(codec.from_string(lit("0001"))), b=neighbours.is_pentagon(lit(None).cast("long"))) == (False, None)
+
+
+def test_clashing_columns_null_cells_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr(focal, "BLOCK_LEVELS", 2)
+    df = plane(spark, n=400)
+    clash = {n: F.lit(-7.0) for n in ("h1", "n_nbrs", "w_k", "parent", "d_k", "start", "n", "offset", "__x", "dir")}
+    odd = df.withColumns(clash).union(df.withColumns(clash).withColumn("cell", F.lit(None).cast("long"))).union(df.withColumns(clash).limit(3))
+    model = focal.distortion_model(spark.createDataFrame([(1, 1.0, 2.0, 3.0, 2.0), (1, 1.0, 2.0, 3.0, 2.0)], "parent long, mean_d_k double, mean_d_j double, mean_d_i double, mean_d_geom double"))
+    want = {r.cell: r.slope for r in focal.slope(df, 7, mode="isotropic").collect()}
+    for mode in ("isotropic", "lookup"):
+        got = focal.slope(odd, 7, model, mode)
+        assert got.columns == [*odd.columns, "slope"] and got.count() == 803
+        assert {r.cell: r.slope for r in got.where("cell IS NOT NULL").collect()} == want
+        assert got.where("cell IS NULL AND slope IS NULL AND h1 = -7").count() == 400
+    offsets = ranges.range_offsets(ranges.find_ranges(df))
+    placed = ranges.positions(odd, offsets)
+    assert placed.columns == [*odd.columns, "position"] and placed.agg(F.max("position"), F.min("n")).first() == (399, -7.0)
+    assert neighbours.edges(odd.limit(1)).columns == [c for c in odd.columns if c != "dir"] + ["dir", "nbr"]
+    assert neighbours.boundary_accounting(odd).first() == neighbours.boundary_accounting(df).first()
+    assert neighbours.k_ring(odd, 2).count() == neighbours.k_ring(df, 2).count()
+    assert sorted(r.mono for r in ranges.at_positions(df, offsets, 10, 13).collect()) == [941202, 941203, 941204]
+
+
+def test_codec_of_odd_texts(spark):
+    got = spark.createDataFrame([("0a1",), ("",), ("0",), (None,), ("058",), ("05",), ("11" + "3" * 25,)], "s string")
+    rows = [r.c for r in got.select(codec.to_string(codec.from_string(F.col("s"))).alias("c")).collect()]
+    assert rows == [None, None, None, None, None, "05", "11" + "3" * 20]
+    assert one(spark, a=codec.resolution(lit(None).cast("long")), b=stats.clipper_scale_factor(lit(None).cast("int"))) == (None, None)
+
+
+def test_tables(spark):
+    from heptagrid.operators import tables
+
+    df = spark.createDataFrame([(1, 2.0), (1, float("nan")), (2, -9999.0), (None, None)], "k int, x double")
+    assert [r[0] for r in df.select(tables.missing(F.col("x"), -9999.0)).collect()][2:] == [None, None]
+    assert [r[0] for r in df.select(tables.missing(F.col("x"), float("nan"))).collect()] == [2.0, None, -9999.0, None]
+    places = spark.createDataFrame([(1, 179.9, 0.0), (2, 10.0, 89.0), (3, None, 1.0)], "k int, lon double, lat double")
+    assert tables.nearest(places, -179.9, 0.0).first().k == 1 and tables.nearest(places, 170.0, 89.9).first().k == 2 and tables.nearest(places.limit(0), 0.0, 0.0).count() == 0
+    assert tables.distinct_pairs(df.union(df), "k", "x").first().n == 4 and tables.differences(df, df).count() == 0 and tables.differences(df, df.limit(3)).count() == 1
+
+
 def test_zonal(spark):
-    df = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 5.0), (1, float("nan")), (1, None), (2, None)], "k int, x double")
+    df = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 5.0), (1, float("nan")), (1, None), (2, None), (None, 1.0), (None, 2.0)], "k int, x double")
     got = {r.k: r for r in zonal.zonal_stats(df, ["k"], "x").collect()}
     assert got[1]["mean"] == 3 and got[1]["count"] == 3 and got[1].majority == 2 and got[1].median == 2 and got[2]["mean"] is None
-    assert zonal.nan_count(df, "x").first() == (6, 3)
-    assert [r.k for r in zonal.zonal_mean(df, ["k"], "x").collect()] == [1]
+    assert got[None].majority == 1 and got[None]["count"] == 2
+    assert zonal.nan_count(df, "x").first() == (8, 3)
+    assert {r.k for r in zonal.zonal_mean(df, ["k"], "x").collect()} == {1, None}
 
 
 def test_archive(spark, tmp_path):
