@@ -2,42 +2,30 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import fresh_path, shared_dir  # noqa: F401
+
 #: A key of more rows than HOT_ROWS may be dealt to several tasks; so many keys at most, those with the most rows, are.
 HOT_ROWS, HOT_KEYS = 256, 10_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
-
-    Only a local-mode session that names none gets a temporary folder of its own; on a cluster a missing setting is an
-    error, since a machine-local folder would not be seen by other executors.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="heptagrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found else "file://" + os.path.abspath(found)
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/heptagrid/{tag}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and reread it: lineage is cut, and a lost executor loses nothing."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.staged_at = path
+    return found
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes staged tables from the shared folder; nothing that is still to be computed may read them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hot_keys(counts: DataFrame) -> DataFrame | None:

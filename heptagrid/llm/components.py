@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, salted_join, staged
+from .common import dropped, hot_keys, salted_join, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,9 +25,12 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = salted_join(large, least, ["u"], hot, ["v"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", "m")).where("u <> v").distinct()
-        edges = staged(small, "stars")
+        last, edges = edges, staged(small, "stars")
+        dropped(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
+    found = staged(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct()), "labels")
+    dropped(edges)
+    return found

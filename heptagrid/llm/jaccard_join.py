@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dealt, hot_keys, salted_join, spread, staged, table
+from .common import dealt, dropped, hot_keys, salted_join, spread, staged, table
 from .components import components
 
 WORDS = 4
@@ -290,7 +290,9 @@ def _sets(rows: DataFrame, classes: DataFrame, renamed: bool, pairs: DataFrame,
     found = texts.mapInArrow(sets, "class bigint, digest binary, tokens binary")
     if renamed:
         found = found.drop("class").join(wanted, "digest")
-    return staged(found.select("class", "tokens"), "sets")
+    found = staged(found.select("class", "tokens"), "sets")
+    dropped(wanted)
+    return found
 
 
 def _verified(found: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -493,21 +495,24 @@ def jaccard_components(
         mixed = staged(salted_join(tagged, strange, ["pivot"], hot, ["class"]).join(points, "class"), "mixed")
         own = mixed.withColumn("leaf", part("leaves", "leaf")).withColumn("slice", every("slices", "slice"))
         guests = mixed.where("label <> home").withColumn("slice", part("slices", "slice")).withColumn("leaf", every("leaves", "leaf"))
-        return _tree_pairs(own, guests, percent, best)
+        found = staged(_tree_pairs(own, guests, percent, best).join(tried, ["a", "b"], "left_anti"), "more")
+        dropped(tagged, mixed)
+        return found
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return staged(_verified(_sets(rows, classes, renamed, pairs, words), pairs, percent), "links")
-
-    def joined(links: DataFrame) -> DataFrame:
-        return staged(components(links), "labels")
+        sets = _sets(rows, classes, renamed, pairs, words)
+        found = staged(_verified(sets, pairs, percent), "links")
+        dropped(sets)
+        return found
 
     tried = staged(stars(), "stars")
     links = verified(tried)
-    labels = joined(links)
+    labels = components(links)
     for best in (BEST, 0):
-        more = staged(others(labels, best).join(tried, ["a", "b"], "left_anti"), "more")
+        more = others(labels, best)
         tried, links = tried.union(more), links.union(verified(more))
-        labels = joined(links)
+        dropped(labels)
+        labels = components(links)
 
     named = classes.select("digest", "class", "id").join(labels.toDF("class", "label"), "class", "left")
     named = named.select("digest", "id", F.coalesce("label", "class").alias("label"))
