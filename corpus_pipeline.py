@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality rules, quality classifier, n-gram Jaccard join, best-fit packing."""
+"""The corpus pipeline: quality rules, quality classifier, n-gram Jaccard join, best-fit packing.
+
+Every stage works on all rows that the one before kept, whole texts and all columns. A null or empty text is rejected by the
+quality rules. Repeated rows are each judged; of a group of near copies those with the smallest id stay, and every row of one
+without any id. An empty table gives an empty result. Columns beside those of documents ride along to the last stage, which
+returns its own.
+"""
 
 from __future__ import annotations
 
