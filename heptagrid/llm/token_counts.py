@@ -24,6 +24,8 @@ from .common import fresh_path, hot_keys, salted_join, staged, table, tokenizer_
 from .word_tokens import digest_of_file, word_encoder
 
 LIMIT = 2048
+#: Missing contents, 32 bytes each, that are sent to all tasks; more are joined by key.
+SENT = 100_000
 CACHE_SCHEMA = "content binary, n_tokens bigint, tokenizer string"
 
 
@@ -73,8 +75,14 @@ def token_counts(
         stored = stored.where(F.col("tokenizer") == version).join(copies, "content", "left_semi")
         return stored.groupBy("content").agg(F.max("n_tokens").alias("__n"))
 
+    missing = staged(copies.join(known(), "content", "left_anti").select("content"), "missing")
+    n_missing = missing.count()
     # copies meet on the map side first, so a third of all rows with one text are a row a task after that
-    misses = rows.select(content.alias("content"), "__text").join(known(), "content", "left_anti").groupBy("content").agg(F.first("__text").alias("__text"))
+    texts, first = rows.select(content.alias("content"), "__text"), F.first("__text").alias("__text")
+    if n_missing <= SENT:
+        misses = texts.join(F.broadcast(missing), "content", "left_semi").groupBy("content").agg(first)
+    else:
+        misses = texts.groupBy("content").agg(first).join(missing, "content", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(tokenizer)
@@ -83,7 +91,8 @@ def token_counts(
             named = pa.array([version] * batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), named], names=["content", "n_tokens", "tokenizer"])
 
-    misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
+    if n_missing:
+        misses.mapInArrow(count, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache)
     return salted_join(keyed, known(), ["content"], hot_keys(copies), ["__id"]).select(
         F.col("__id").alias(id_col), "n_bytes", F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit")
     )

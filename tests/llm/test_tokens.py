@@ -121,6 +121,7 @@ def test_op5_hot_content_and_other_tokenizers(spark, monkeypatch):
     from heptagrid.llm import common
 
     monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(token_counts, "SENT", 1)
     cache = fresh_path(spark, "t")
     docs = spark.createDataFrame([(k, "the same") for k in range(50)] + [(99, "another one")], "doc_id long, text string")
     a = token_counts.token_counts(docs, cache, PATH).collect()
