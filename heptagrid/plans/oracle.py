@@ -159,8 +159,8 @@ def mono_of(cell: str, level: int) -> str:
 
 
 def rings(k: int) -> str:
-    """Cells at most k steps from event 400."""
-    found = f"SELECT cell FROM (WITH {AOI} SELECT cell FROM aoi WHERE event_id = 400)"
+    """Cells at most k steps from the area."""
+    found = f"SELECT cell FROM (WITH {HOLES} SELECT cell FROM holes)"
     for _ in range(k):
         found = (
             f"SELECT cell FROM (WITH had AS ({found}), line AS (SELECT 1 AS one, {mono_of('cell', 7)} AS mono FROM had), {ring_ctes('line', 'one', 7)} "
@@ -226,12 +226,11 @@ SELECT c_nationkey, round((degrees(atan2(s, c)) + 360) % 360, 6) AS mean, round(
 k AS (SELECT * FROM a WHERE d <> CASE WHEN base < 6 THEN 2 ELSE 5 END) SELECT base, CAST(row_number() OVER (PARTITION BY base ORDER BY d) - 1 AS INTEGER) AS k, nbr FROM k""",
     "neighbour_single": f"WITH {EARTH}, {ring_ctes('earth', 'o_orderkey', 6)} SELECT o_orderkey, {signed(packed('b', [f'n{i}' for i in range(1, 7)]))} AS cell, c AS carry FROM r6 WHERE dir = 3",
     "neighbours_exploded": f"WITH {EARTH}, {ring_ctes('earth', 'o_orderkey', 6)} SELECT o_orderkey, dir, nbr FROM ring",
-    "neighbours_of_pentagons": f"WITH line AS (SELECT m AS mono, 1 AS one FROM range({12 * 343}) AS t(m) WHERE {valid('m', 3)} AND m % 343 < 60), {ring_ctes('line', 'one', 3)} SELECT mono, dir, nbr FROM ring",
     "neighbours_of_level": f"WITH line AS (SELECT m AS mono, 1 AS one FROM range({12 * 343}) AS t(m) WHERE {valid('m', 3)}), {ring_ctes('line', 'one', 3)} SELECT mono, dir, nbr FROM ring",
     "boundary_accounting": f"""WITH {HOLES}, {ring_ctes('holes', 'event_id', 7)}, j AS (SELECT r.event_id, r.nbr, h.cell FROM ring r LEFT JOIN holes h ON r.nbr = h.cell),
 p AS (SELECT event_id, bool_or(nbr IS NULL) AS pent, bool_or(nbr IS NOT NULL AND cell IS NULL) AS outside FROM j GROUP BY event_id)
 SELECT count(*) AS cells, count(*) FILTER (pent) AS pentagon, count(*) FILTER (outside) AS out_of_area, count(*) FILTER (outside AND NOT pent) AS boundary_only FROM p""",
-    "ring_of_cell": f"""WITH {AOI}, asked AS (SELECT * FROM aoi WHERE event_id IN (50, 51, 700)), {ring_ctes('asked', 'event_id', 7)}
+    "ring_of_cell": f"""WITH {AOI}, {PIXELS}, asked AS (SELECT DISTINCT mono, {signed(unsigned('mono', 7))} AS cell FROM pixels), {ring_ctes('asked', 'mono', 7)}
 SELECT event_id, value FROM aoi WHERE cell IN (SELECT nbr FROM ring WHERE nbr IS NOT NULL UNION SELECT cell FROM asked)""",
     "zonal_mean": f"WITH {PIXELS} SELECT mono, round(CAST(CAST(avg(q) AS FLOAT) AS DOUBLE), 3) AS mean FROM pixels GROUP BY mono",
     "zonal_stats9": f"""WITH {PIXELS}, f AS (SELECT mono, q, count(*) AS n FROM pixels GROUP BY mono, q), m AS (SELECT mono, first(q ORDER BY n DESC, q) AS majority FROM f GROUP BY mono),
@@ -258,8 +257,7 @@ round(avg(CAST(o_totalprice > 150000 AS INTEGER)), 6) AS share_large FROM earth
     "slice_ids": f"WITH {HOLES}, p AS (SELECT mono, row_number() OVER (ORDER BY mono) - 1 AS i FROM holes) SELECT mono FROM p WHERE i >= 100 AND i < 1500",
     "range_compression_ratio": f"WITH {RANGES} SELECT count(*) AS r, CAST(sum(n) AS BIGINT) AS n, round(count(*) / sum(n), 9) AS ratio FROM placed",
     "parent_zone_select": f"WITH {AOI} SELECT event_id, value FROM aoi WHERE mono // 343 = {941192 // 343}",
-    "select_cells": f"WITH {AOI} SELECT event_id, cell FROM aoi WHERE event_id % 13 = 5",
-    "select_cells_of_pixels": f"WITH {AOI}, {PIXELS} SELECT event_id, cell FROM aoi WHERE mono IN (SELECT mono FROM pixels)",
+    "select_cells": f"WITH {AOI}, {PIXELS} SELECT event_id, cell FROM aoi WHERE mono IN (SELECT mono FROM pixels)",
     "inner_compare": f"""WITH {AOI}, {PIXELS}, o AS (SELECT mono, avg(q) AS q FROM pixels GROUP BY mono), x AS (SELECT abs(value - q) AS x FROM aoi JOIN o ON aoi.mono = o.mono)
 SELECT count(*) AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS most FROM x""",
     "left_default_lookup": f"""WITH {AOI}, {LOOKUP} SELECT event_id, """ + ", ".join(f"round({BASE!r} * coalesce(d{a} / dg, 1), 6) AS d_{a}" for a in "kji") + " FROM aoi LEFT JOIN lookup ON mono // 343 = m",
@@ -268,11 +266,9 @@ SELECT count(*) AS n, round(avg(x), 6) AS mean, round(max(x), 6) AS most FROM x"
     "union_levels": f"WITH {AOI} SELECT 7 AS level, mono FROM aoi UNION ALL SELECT DISTINCT 6, mono // 7 FROM aoi",
     "intersect_cells": f"WITH {HOLES}, {PIXELS} SELECT mono FROM holes INTERSECT SELECT mono FROM pixels",
     "bbox_select": f"WITH {LONLAT} SELECT c_custkey, lon, lat FROM lonlat WHERE lon BETWEEN -30 AND 60 AND lat BETWEEN 10 AND 70",
-    "chunk_touches": f"""WITH {HOLES}, p AS (SELECT event_id, row_number() OVER (ORDER BY mono) - 1 AS i FROM holes) SELECT count(*) AS cells, count(DISTINCT i // 343) AS chunks,
-count(DISTINCT i // 343) * 343 AS cells_read FROM p WHERE event_id % 97 = 3""",
-    "chunk_touches_whole": f"""WITH {HOLES}, p AS (SELECT row_number() OVER (ORDER BY mono) - 1 AS i FROM holes) SELECT count(*) AS cells, count(DISTINCT i // 343) AS chunks,
+    "chunk_touches": f"""WITH {HOLES}, p AS (SELECT row_number() OVER (ORDER BY mono) - 1 AS i FROM holes) SELECT count(*) AS cells, count(DISTINCT i // 343) AS chunks,
 count(DISTINCT i // 343) * 343 AS cells_read FROM p""",
-    "layout_roundrobin": "SELECT i AS position, row_number() OVER (ORDER BY i % 7, i) - 1 AS moved FROM range(1000) AS t(i)",
+    "layout_roundrobin": f"WITH {HOLES}, p AS (SELECT event_id, row_number() OVER (ORDER BY mono) - 1 AS i FROM holes) SELECT event_id, i AS position, row_number() OVER (ORDER BY i % 7, i) - 1 AS moved FROM p",
     "slope_isotropic": f"WITH {GATHER} SELECT holes.event_id, round({slope(repr(BASE), repr(BASE), repr(BASE))}, 9) AS slope FROM holes LEFT JOIN six ON holes.event_id = six.event_id",
     "slope_lookup": f"""WITH {GATHER}, {LOOKUP}, w AS (SELECT event_id, """ + ", ".join(f"{BASE!r} * coalesce(d{a} / dg, 1) AS w{a}" for a in "kji") + f""" FROM holes LEFT JOIN lookup ON mono // 343 = m)
 SELECT w.event_id, round({slope('wk', 'wj', 'wi')}, 9) AS slope FROM w LEFT JOIN six ON w.event_id = six.event_id""",
@@ -341,7 +337,6 @@ SELECT event_id, n, round(v, 6) AS mean_value FROM aoi LEFT JOIN s ON aoi.mono /
     "set_differences": f"WITH {HOLES}, c AS (SELECT DISTINCT mono // 7 * 7 + k AS mono FROM holes, range(7) AS t(k)) SELECT mono FROM c WHERE mono NOT IN (SELECT mono FROM holes)",
     "terrain_shares": f"WITH {AOI}, t AS (SELECT CASE WHEN value / 10 <= 5 THEN 'flat' WHEN value / 10 <= 15 THEN 'gentle' WHEN value / 10 <= 30 THEN 'moderate' ELSE 'steep' END AS terrain FROM aoi) SELECT terrain, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM t GROUP BY terrain",
     "k_ring": rings(3),
-    "k_ring_of_area": f"WITH {HOLES}, {ring_ctes('holes', 'event_id', 7)} SELECT cell FROM holes UNION SELECT nbr FROM ring WHERE nbr IS NOT NULL",
     "find_resolution_other_metrics": f"""WITH {STATS}, target AS (SELECT c_custkey, abs(c_acctbal) + 1 AS t FROM customer)
 SELECT c_custkey, (SELECT resolution FROM stats WHERE area_m2 >= t ORDER BY abs(area_m2 - t), resolution LIMIT 1) AS by_area,
 (SELECT resolution FROM stats ORDER BY abs(num_cells - CAST(floor(t) AS BIGINT) * 100), resolution LIMIT 1) AS by_count FROM target""",

@@ -233,12 +233,6 @@ def neighbours_exploded(spark, d):
     return neighbours.edges(earth(spark, d).select("o_orderkey", "cell")).select("o_orderkey", "dir", "nbr")
 
 
-@query
-def neighbours_of_pentagons(spark, d):
-    cells = mono.all_cells(spark, 3).where(F.pmod("mono", F.lit(343)) < 60)
-    return neighbours.edges(cells).select("mono", "dir", "nbr")
-
-
 @query
 def neighbours_of_level(spark, d):
     return neighbours.edges(mono.all_cells(spark, 3)).select("mono", "dir", "nbr")
@@ -251,13 +245,14 @@ def boundary_accounting(spark, d):
 
 @query
 def ring_of_cell(spark, d):
-    asked = aoi(spark, d).where("event_id IN (50, 51, 700)").select("cell")
+    """Rows of the area in the rings of all pixels' cells."""
+    asked = pixels(spark, d).select(mono.from_mono(F.col("mono"), AOI_LEVEL).alias("cell"))
     return neighbours.ring_rows(asked, aoi(spark, d)).select("event_id", "value")
 
 
 @query
 def k_ring(spark, d):
-    return neighbours.k_ring(aoi(spark, d).where("event_id = 400"), 3)
+    return neighbours.k_ring(holes(spark, d), 3)
 
 
 @query
@@ -380,11 +375,6 @@ def parent_zone_select(spark, d):
 
 @query
 def select_cells(spark, d):
-    return archive.select_cells(aoi(spark, d), aoi(spark, d).where("event_id % 13 = 5")).select("event_id", "cell")
-
-
-@query
-def select_cells_of_pixels(spark, d):
     """The cells of another table: some are asked for many times, and at small scales some are not there."""
     return archive.select_cells(aoi(spark, d), pixels(spark, d)).select("event_id", "cell")
 
@@ -432,20 +422,17 @@ def bbox_select(spark, d):
 
 @query
 def chunk_touches(spark, d):
-    placed = ranges.positions(aoi(spark, d).where("event_id % 97 = 3").select("mono"), ranges.range_offsets(ranges.find_ranges(holes(spark, d))))
-    return ranges.chunk_touches(placed, "position", CHUNK)
-
-
-@query
-def chunk_touches_whole(spark, d):
     placed = ranges.positions(aoi(spark, d).select("mono"), ranges.range_offsets(ranges.find_ranges(holes(spark, d))))
     return ranges.chunk_touches(placed, "position", CHUNK)
 
 
 @query
 def layout_roundrobin(spark, d):
-    n = 1000
-    return spark.range(n).select(F.col("id").alias("position"), ranges.round_robin_position(F.col("id"), n, 7).alias("moved"))
+    """Every place of the archive, and where it goes if the cells are dealt in turn."""
+    offsets = ranges.range_offsets(ranges.find_ranges(holes(spark, d)))
+    n = offsets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    placed = ranges.positions(holes(spark, d).select("event_id", "mono"), offsets)
+    return placed.select("event_id", "position", ranges.round_robin_position(F.col("position"), n, 7).alias("moved"))
 
 
 def _slope(spark, d, mode):
@@ -735,11 +722,6 @@ def terrain_shares(spark, d):
     return zonal.value_share(rows, "terrain").select("terrain", "n", F.round(F.col("share") * 100, 6).alias("percent"))
 
 
-@query
-def k_ring_of_area(spark, d):
-    return neighbours.k_ring(holes(spark, d), 1)
-
-
 @query
 def find_resolution_other_metrics(spark, d):
     x = F.abs("c_acctbal") + 1

@@ -40,14 +40,14 @@ def test_query(spark, sf, con, name):
 
 def test_chunk_touches_of_all_rows(spark, sf, con):
     cells = con.execute("SELECT count(*) FROM events WHERE event_type <> 'error'").fetchone()[0]
-    assert tuple(QUERIES["chunk_touches_whole"](spark, sf).first()) == (cells, -(-cells // 343), -(-cells // 343) * 343)
+    assert tuple(QUERIES["chunk_touches"](spark, sf).first()) == (cells, -(-cells // 343), -(-cells // 343) * 343)
 
 
 def test_select_cells_asks_for_repeated_and_missing_cells(spark, sf, con):
     asked = [r[0] for r in con.execute("SELECT l_orderkey % 16807 FROM lineitem").fetchall()]
     there = {r[0] for r in con.execute("SELECT event_id FROM events").fetchall()}
     assert len(set(asked)) < len(asked) and set(asked) - there and there - set(asked)
-    got = [r.event_id for r in QUERIES["select_cells_of_pixels"](spark, sf).collect()]
+    got = [r.event_id for r in QUERIES["select_cells"](spark, sf).collect()]
     assert sorted(got) == sorted(there & set(asked))
 
 
