@@ -14,13 +14,13 @@ from heptagrid.llm.common import table
 from heptagrid.llm.components import components
 
 
-def plain_set(text):
+def plain_set(text, n=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)} or ({tuple(words)} if words else set())
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
 
 
-def plain(rows, percent=85):
-    sets = [plain_set(t) for _, t in rows]
+def plain(rows, percent=85, words=4):
+    sets = [plain_set(t, words) for _, t in rows]
     at = list(range(len(rows)))
 
     def root(i):
@@ -43,9 +43,9 @@ def plain(rows, percent=85):
     return sorted(((d, len(s), d if not s else least.get(root(i))) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
-def got(spark, rows, **kind):
+def got(spark, rows, percent=85, words=4):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(1) for n in ("id", "class", "n", "token")})
-    return sorted((tuple(r) for r in j.jaccard_components(docs, **kind).collect()), key=str)
+    return sorted((tuple(r) for r in j.jaccard_components(docs, percent, words=words).collect()), key=str)
 
 
 def chain(seed):
@@ -83,11 +83,19 @@ def test_empty_and_one_of_each(spark):
     assert got(spark, []) == []
     rows = chain(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit(1))
-    kept = j.one_of_each(docs)
+    kept = j.one_of_each(docs, percent=85, words=4)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in plain(rows)}
 
 
+def test_five_words_and_four_fifths_unless_asked(spark):
+    rows = chain(4)
+    assert plain(rows, 80, 5) != plain(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in j.jaccard_components(docs).collect()), key=str) == plain(rows, 80, 5)
+    assert {r.doc_id for r in j.one_of_each(docs).collect()} == {c for _, _, c in plain(rows, 80, 5)}
+
+
 def test_tree_finds_what_a_scan_finds():
     rng = np.random.default_rng(0)
     points = rng.poisson(3, (1200, 64)).astype(np.uint8)
@@ -101,7 +109,7 @@ def test_tree_finds_what_a_scan_finds():
         got = set(zip(query.tolist(), place.tolist()))
         want = set()
         for k in range(1200):
-            sums = np.minimum(asked, asked[k]).sum(1) - j.needed(n + n[k])
+            sums = np.minimum(asked, asked[k]).sum(1) - j.needed(n + n[k], 85)
             fits = (block == block[k]) & (sums >= 0) & (100 * np.minimum(n, n[k]) >= 85 * np.maximum(n, n[k]))
             want |= {(k, x) for x in np.flatnonzero(fits).tolist()}
         assert got == want
@@ -115,7 +123,7 @@ def test_tree_pairs_of_other_labels_and_best():
     n = np.array([int(p.sum()) for p in points])
     block, classes, labels, guest = rng.integers(0, 3, 420), np.arange(1000, 1420), rng.integers(0, 9, 420), rng.random(420) < 0.5
     points = [p.tobytes() for p in points]
-    ok = lambda x, y: 100 * min(n[x], n[y]) >= 85 * max(n[x], n[y]) and j.most_shared(points[x], points[y]) >= j.needed(n[x] + n[y])
+    ok = lambda x, y: 100 * min(n[x], n[y]) >= 85 * max(n[x], n[y]) and j.most_shared(points[x], points[y]) >= j.needed(n[x] + n[y], 85)
     want = {
         (x + 1000, y + 1000) for x in np.flatnonzero(guest).tolist() for y in np.flatnonzero(~guest).tolist()
         if block[x] == block[y] and labels[x] != labels[y] and ok(x, y)
