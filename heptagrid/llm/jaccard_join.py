@@ -507,13 +507,12 @@ def jaccard_components(
         return found
 
     tried = staged(stars(), "stars")
-    links = verified(tried)
-    labels = components(links)
+    labels = components(verified(tried))
     for best in (BEST, 0):
         more = others(labels, best)
-        tried, links = tried.union(more), links.union(verified(more))
-        dropped(labels)
-        labels = components(links)
+        tried, before = tried.union(more), labels
+        labels = components(before.toDF("a", "b").union(verified(more)))
+        dropped(before)
 
     named = classes.select("digest", "class", "id").join(labels.toDF("class", "label"), "class", "left")
     named = named.select("digest", "id", F.coalesce("label", "class").alias("label"))

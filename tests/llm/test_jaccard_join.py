@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heptagrid.llm import common
+from heptagrid.llm import common, components as joined
 from heptagrid.llm import jaccard_join as j
 from heptagrid.llm.common import table
 from heptagrid.llm.components import components
@@ -150,6 +150,35 @@ def test_components(spark):
     assert found == {i: 1 for i in range(1, 61)} | dict.fromkeys((100, 200, 300, 400), 100)
 
 
+def test_components_rounds(spark, monkeypatch):
+    """Tasks that hold few links at once leave chains, repeats and a node of many links to the rounds."""
+    monkeypatch.setattr(joined, "ROOM", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        rng = random.Random(3)
+        edges = [(i, i + 1) for i in range(-40, 0)] + [(900, k) for k in range(800, 840)] + [(i, i + 1) for i in range(800, 810)] * 2
+        edges += [(7, 7), (1 << 62, -(1 << 62))]
+        rng.shuffle(edges)
+        found = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {i: -40 for i in range(-40, 1)} | {i: 800 for i in (*range(800, 840), 900)} | dict.fromkeys((1 << 62, -(1 << 62)), -(1 << 62))
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_stars():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        u, v = rng.integers(-30, 30, (2, rng.integers(1, 50)))
+        least = {k: k for k in (*u.tolist(), *v.tolist())}
+        for _ in least:
+            for x, y in zip(u.tolist(), v.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        nodes, low = joined.stars(u, v)
+        assert dict(zip(nodes.tolist(), low.tolist())) == {k: m for k, m in least.items() if k != m}
+
+
 def test_salted_join(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 3)
     many = spark.createDataFrame([(k % 3, k) for k in range(30)] + [(7, k) for k in range(50)] + [(None, 1), (8, 1)], "k long, x long")
