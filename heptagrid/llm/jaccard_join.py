@@ -465,6 +465,8 @@ def jaccard_components(
     points = classes.select("class", "n", "point")
     larger = blocks.groupBy("pivot").agg(F.count("*").alias("n"))
     hot = hot_keys(larger)
+    members = blocks.select("pivot", "class").union(larger.select("pivot", "pivot"))
+    members = staged(dealt(members, ["pivot"], hot, ["class"]), "members")
     leaves = F.ceil((F.col("n") + 1) / LEAF).cast("int").alias("leaves")
 
     def part(of: str, kind: str) -> Column:
@@ -475,10 +477,10 @@ def jaccard_components(
 
     def stars() -> DataFrame:
         """Each class with its smallest pivot, which is the one guest of its block's parts."""
-        members = blocks.groupBy("class").agg(F.min("pivot").alias("pivot"))
-        sizes = members.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", leaves)
+        first = members.where("class <> pivot").groupBy("class").agg(F.min_by("__salt", "pivot").alias("__salt"), F.min("pivot").alias("pivot"))
+        sizes = first.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", leaves)
         shape = (F.lit(0).alias("slice"), "class", F.col("class").alias("label"), "n", "point")
-        own = salted_join(members, sizes, ["pivot"], hot, ["class"]).join(points, "class").select("pivot", part("leaves", "leaf"), *shape)
+        own = first.join(spread(sizes, ["pivot"], hot), ["pivot", "__salt"]).join(points, "class").select("pivot", part("leaves", "leaf"), *shape)
         guests = sizes.withColumn("class", F.col("pivot")).join(points, "class").select("pivot", every("leaves", "leaf"), *shape)
         return _tree_pairs(own, guests, percent)
 
@@ -489,11 +491,10 @@ def jaccard_components(
             found = df.join(labels.toDF(of, "found"), of, "left")
             return found.withColumn(name, F.coalesce("found", of)).drop("found")
 
-        known = label(larger.select("pivot", leaves), "pivot", "home")
-        members = blocks.select("pivot", "class").union(larger.select("pivot", "pivot"))
-        tagged = staged(salted_join(label(members, "class", "label"), known, ["pivot"], hot, ["class"]), "tagged")
+        known = spread(label(larger.select("pivot", leaves), "pivot", "home"), ["pivot"], hot)
+        tagged = staged(label(members, "class", "label").join(known, ["pivot", "__salt"]), "tagged")
         strange = tagged.where("label <> home").groupBy("pivot").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("slices"))
-        mixed = staged(salted_join(tagged, strange, ["pivot"], hot, ["class"]).join(points, "class"), "mixed")
+        mixed = staged(tagged.join(spread(strange, ["pivot"], hot), ["pivot", "__salt"]).join(points, "class"), "mixed")
         own = mixed.withColumn("leaf", part("leaves", "leaf")).withColumn("slice", every("slices", "slice"))
         guests = mixed.where("label <> home").withColumn("slice", part("slices", "slice")).withColumn("leaf", every("leaves", "leaf"))
         found = staged(_tree_pairs(own, guests, percent, best).join(tried, ["a", "b"], "left_anti"), "more")
