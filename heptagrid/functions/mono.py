@@ -46,6 +46,11 @@ def within(number: Column, ancestor: int, levels: int) -> Column:
     return number.between(ancestor * 7**levels, (ancestor + 1) * 7**levels - 1)
 
 
+def is_slot(number: Column, level: int) -> Column:
+    """Whether a number is on the line, be it a cell's or not."""
+    return (number >= 0) & (number < 12 * 7**level)
+
+
 def is_valid(number: Column, level: int) -> Column:
     """Whether a slot of the line is a cell: its first digit that isn't 0 is not the one that its base cell excludes."""
     first = F.lit(-1)

@@ -38,9 +38,10 @@ def coordinate_attributes(level: int, vert0_lon: float = VERTEX_LON) -> dict:
 
 
 def write_archive(
-    df: DataFrame, path: str, level: int, variables: list[str], compression: str = "none", dense_ids: bool = False, cell: str = "cell", **attrs
+    df: DataFrame, path: str, level: int, variables: list[str], compression: str = "none", dense_ids: bool = False, cell: str = "cell", slots: bool = False, **attrs
 ) -> None:
-    """Refuses an existing path, an unknown compression, a null or repeated id, and an id that is not of the level."""
+    """Refuses an existing path, an unknown compression, a null or repeated id, and an id that is not of the level. Slots of the
+    line that are no cells are refused too, unless ``slots`` asks for them."""
     if compression not in COMPRESSIONS:
         raise ValueError(f"no compression {compression}")
     spark, id_ = df.sparkSession, F.col(cell)
@@ -48,7 +49,7 @@ def write_archive(
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         raise FileExistsError(path)
     number = mono.to_mono(id_, level)
-    fits = id_.isNotNull() & (codec.resolution(id_) == level) & mono.is_valid(number, level)
+    fits = id_.isNotNull() & (codec.resolution(id_) == level) & (mono.is_slot(number, level) if slots else mono.is_valid(number, level))
     rows = df.select(number.alias("mono"), id_.alias("cell"), *variables)
     bad = df.where(~F.coalesce(fits, F.lit(False))).limit(1).count()
     if bad or rows.groupBy("mono").count().where("count > 1").limit(1).count():
