@@ -64,14 +64,14 @@ def write_archive(
 
 def append_variables(spark: SparkSession, path: str, out: str, df: DataFrame, variables: list[str], cell: str = "cell") -> None:
     """The archive at a path, written to another with df's variables by cell; null where df lacks a cell, and those of the same
-    name replaced. df's cells are not repeated."""
+    name replaced. df's cells are not repeated. The ids are those of the archive, so slots that it took are taken again."""
     meta = read_metadata(spark, path)
     before = open_archive(spark, path)
     kept = [c for c in before.columns if c not in ("mono", *variables)]
     rows = before.select(*kept).join(df.select(F.col(cell).alias("cell"), *variables), "cell", "left")
     dense = "cell" in spark.read.parquet(f"{path}/cells").columns
     names = [c for c in kept if c != "cell"]
-    write_archive(rows, out, meta["refinement_level"], [*names, *variables], meta["compression"], dense)
+    write_archive(rows, out, meta["refinement_level"], [*names, *variables], meta["compression"], dense, slots=True)
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
