@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 from ..functions import codec, stats
 from ..functions.geodesy import geodesic_struct
-from .neighbours import edges, is_pentagon, ring
+from ..staging import staged
+from .neighbours import edges, is_pentagon, no_cells, ring
 
 #: Directions of each axis: its positive end, then its negative one.
 AXES = {"k": (1, 6), "j": (2, 5), "i": (4, 3)}
@@ -30,8 +31,9 @@ def gather(df: DataFrame, level: int, value: str = "value", cell: str = "cell")
     """df with h1 to h6, the neighbours' values, null where the area has no such cell; and n_nbrs, how many it has.
 
     One exchange: each row goes to its block, and those at a block's edge, as id and value alone, to the blocks of their
-    neighbours too, who are the ones that ask for them, as being neighbours goes both ways. Blocks are then worked on one
-    at a time. An id that comes twice is asked for with the largest of its values; a block's rows are held together, so ids that
+    neighbours too, who are the ones that ask for them, as being neighbours goes both ways between cells. Slots that are no
+    cells may have neighbours that don't have them; where these are of another block, they are looked up by key, in one more
+    join that only such tables need. Blocks are then worked on one at a time. An id that comes twice is asked for with the largest of its values; a block's rows are held together, so ids that
     repeat without bound are to be aggregated first. Rows whose cell is null have no neighbours; they are dealt to all tasks, and
     not held. Columns named like the ones added are replaced.
     """
@@ -67,6 +69,17 @@ def gather(df: DataFrame, level: int, value: str = "value", cell: str = "cell")
                 rest = [pa.array(other[row, place]), pa.array(np.zeros(n, bool)), batch.columns[-1].take(pick)]
                 yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*names, "__block", "__own", "__h"])
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = ids(batch.column(0).drop_null())
+            cells = cells[no_cells(cells)]
+            own, (out, exist) = block(cells), ring(cells)
+            row, place = np.nonzero(exist & (block(out.ravel()).reshape(out.shape) != own[:, None]))
+            asked, to = out[row, place], own[row]
+            back, known = ring(asked)
+            unsent = ~(known & (block(back.ravel()).reshape(back.shape) == to[:, None])).any(1)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[unsent]), pa.array(to[unsent])], names=["__asked", "__to"])
+
     def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         cells, own = ids(rows.column(at).combine_chunks()), rows.column("__own").to_numpy()
         heights = rows.column("__h").combine_chunks()
@@ -102,7 +115,13 @@ def gather(df: DataFrame, level: int, value: str = "value", cell: str = "cell")
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    dealt = rows.mapInArrow(spread, T.StructType(fields + extra)).repartition("__block")
+    dealt, id_ = rows.mapInArrow(spread, T.StructType(fields + extra)), F.col(f"`{cell}`")
+    asks = staged(df.select(id_).mapInArrow(ask, "__asked long, __to long").distinct(), "asks")
+    if not asks.isEmpty():
+        columns = [F.col(f"`{f.name}`") if f.name == cell else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
+        found = rows.where(F.col("__h").isNotNull()).join(asks, id_ == F.col("__asked"))
+        dealt = dealt.union(found.select(*columns, F.col("__to").alias("__block"), F.lit(False).alias("__own"), "__h"))
+    dealt = dealt.repartition("__block")
     dealt = dealt.sortWithinPartitions("__block", cell, F.col("__h").desc_nulls_last())
     ringed = [T.StructField(h, T.DoubleType()) for h in RING] + [T.StructField("n_nbrs", T.LongType())]
     return dealt.mapInArrow(by_block, T.StructType(fields + ringed))

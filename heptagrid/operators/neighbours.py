@@ -122,6 +122,12 @@ def ring(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, exist
 
 
+def no_cells(cells: np.ndarray) -> np.ndarray:
+    """A mask of the slots that are no cells: their first digit that isn't 0 is the one their base cell excludes."""
+    base, digits = _unpack(cells)
+    return _lead(digits)[1] == np.array(EXCLUDED)[np.minimum(base, len(EXCLUDED) - 1)]
+
+
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _neighbours(cells: pa.Array) -> pa.Array:
     known = cells.is_valid().to_numpy(zero_copy_only=False)

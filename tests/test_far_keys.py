@@ -3,12 +3,14 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from heptagrid.functions import mono
+from heptagrid.operators import focal, neighbours
 from heptagrid.plans.oracle import ORACLES
 from heptagrid.plans.queries import AOI_START, QUERIES
 from heptagrid.sources import archive
@@ -53,3 +55,33 @@ def test_archive_refuses_slots_unless_asked(spark, tmp_path):
         archive.write_archive(df.select(mono.from_mono(F.col("id") + 12 * 7**7, 7).alias("cell"), "id"), str(tmp_path / "y"), 7, ["id"], slots=True)
     archive.write_archive(df, str(tmp_path / "z"), 7, ["id"], "ranges", slots=True)
     assert archive.open_archive(spark, str(tmp_path / "z")).exceptAll(df.select("cell", F.col("id").alias("mono"), "id")).count() == 0
+
+
+def lopsided(spark):
+    """Events at slots that are no cells, and at all their neighbours, of which some are in other blocks and don't have them for one."""
+    asked = spark.createDataFrame([(AOI_START + k,) for k in (137285, 137287, 137289, 137355)], "m long").select(mono.from_mono(F.col("m"), 7).alias("cell"))
+    found = neighbours.k_ring(asked, 1).select(mono.to_mono(F.col("cell"), 7)).collect()
+    ids = sorted(r[0] - AOI_START for r in found)
+    return events(ids) | {"event_type": ["view"] * len(ids)}
+
+
+def test_gather_of_slots_is_the_join(spark):
+    line = spark.range(12 * 7**3).withColumnRenamed("id", "mono")
+    for level, df in ((3, line), (7, line.withColumn("mono", F.col("mono") + AOI_START + 137000))):
+        df = df.select(mono.from_mono(F.col("mono"), level).alias("cell"), (F.col("mono") % 31).cast("double").alias("value"), "mono")
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(focal, "BLOCK_LEVELS", 1)
+            names = ["cell", "mono", "value", *focal.RING, "n_nbrs"]
+            got = {r.cell: tuple(r) for r in focal.gather(df, level).select(names).collect()}
+        want = focal.gather_by_join(df).select(names).collect()
+        assert len(want) == 12 * 7**3 and got == {r.cell: tuple(r) for r in want}
+
+
+def test_slots_that_are_no_cells(spark):
+    rows = spark.range(12 * 7**3).select(mono.from_mono(F.col("id"), 3).alias("cell"), mono.is_valid(F.col("id"), 3).alias("valid")).collect()
+    assert neighbours.no_cells(np.array([r.cell for r in rows])).tolist() == [not r.valid for r in rows]
+
+
+@pytest.mark.parametrize("name", ["slope_isotropic"])
+def test_slopes_of_slots(spark, tmp_path, name):
+    agree(spark, write(tmp_path, events=lopsided(spark)), name)
