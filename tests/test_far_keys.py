@@ -82,6 +82,6 @@ def test_slots_that_are_no_cells(spark):
     assert neighbours.no_cells(np.array([r.cell for r in rows])).tolist() == [not r.valid for r in rows]
 
 
-@pytest.mark.parametrize("name", ["slope_isotropic", "slope_lookup", "slope_degrees_stats", "slope_geodesic", "slope_variants"])
+@pytest.mark.parametrize("name", ["slope_isotropic", "slope_lookup", "slope_degrees_stats", "slope_geodesic", "slope_variants", "relative_errors"])
 def test_slopes_of_slots(spark, tmp_path, name):
     agree(spark, write(tmp_path, events=lopsided(spark)), name)
