@@ -51,14 +51,19 @@ def is_slot(number: Column, level: int) -> Column:
     return (number >= 0) & (number < 12 * 7**level)
 
 
-def is_valid(number: Column, level: int) -> Column:
-    """Whether a slot of the line is a cell: its first digit that isn't 0 is not the one that its base cell excludes."""
+def leads_well(number: Column, level: int) -> Column:
+    """Whether a number's first digit that isn't 0 is not the one that its base cell excludes; past the line's end, as on the
+    base cells before it."""
     first = F.lit(-1)
     for i in range(level, 0, -1):
         d = F.pmod(_div(number, 7 ** (level - i)), F.lit(7))
         first = F.when(d != 0, d.cast("int")).otherwise(first)
-    base = _div(number, 7**level)
-    return (number >= 0) & (base < 12) & (first != F.when(base < 6, F.lit(EXCLUDED[0])).otherwise(F.lit(EXCLUDED[6])))
+    return first != F.when(_div(number, 7**level) < 6, F.lit(EXCLUDED[0])).otherwise(F.lit(EXCLUDED[6]))
+
+
+def is_valid(number: Column, level: int) -> Column:
+    """Whether a number is a cell's: it is on the line, and its first digit that isn't 0 is not the one that its base cell excludes."""
+    return is_slot(number, level) & leads_well(number, level)
 
 
 def descendants(df: DataFrame, number: str, levels: int, out: str = "child") -> DataFrame:

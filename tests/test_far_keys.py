@@ -85,3 +85,9 @@ def test_slots_that_are_no_cells(spark):
 @pytest.mark.parametrize("name", ["slope_isotropic", "slope_lookup", "slope_degrees_stats", "slope_geodesic", "slope_variants", "relative_errors"])
 def test_slopes_of_slots(spark, tmp_path, name):
     agree(spark, write(tmp_path, events=lopsided(spark)), name)
+
+
+def test_children_past_the_end_of_the_line(spark, tmp_path):
+    """No base cell is there, so what is left out is by the rule of the last ones."""
+    got = agree(spark, write(tmp_path, part={"p_partkey": [0, 1, 28811, 28812, 28813, 120000]}), "children")
+    assert len(got) > 6 * 6 and max(r[1] for r in got) >= 28812
