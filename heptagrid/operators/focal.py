@@ -187,9 +187,11 @@ def with_geodesic_distances(df: DataFrame, centroids: DataFrame, cell: str = "ce
     return df.join(found, F.col(cell) == F.col("__at"), "left").drop("__at")
 
 
-def axis_sweep(df: DataFrame, centroids: DataFrame, cell: str = "cell") -> DataFrame:
-    """cell, d_k, d_j, d_i and :func:`axis_metrics` of all cells of df but pentagons; ends without a centroid don't count."""
-    return axis_metrics(axis_distances(df.where(~is_pentagon(F.col(cell))), centroids, cell, skip_missing=True))
+def axis_sweep(df: DataFrame, centroids: DataFrame, cell: str = "cell", pentagons: bool = False) -> DataFrame:
+    """cell, d_k, d_j, d_i and :func:`axis_metrics` of all cells of df, but pentagons unless asked for; ends without a centroid,
+    and the direction that a pentagon lacks, don't count."""
+    swept = df if pentagons else df.where(~is_pentagon(F.col(cell)))
+    return axis_metrics(axis_distances(swept, centroids, cell, skip_missing=True))
 
 
 def sweep_by_parent(sweep: DataFrame, level: int = PARENT_LEVEL) -> DataFrame:

@@ -108,3 +108,11 @@ def around(spark, cell):
 def test_bearing_due_south(spark, tmp_path):
     got = agree(spark, write(tmp_path, events=around(spark, 1461815552535166975)), "direction_geodesics")
     assert any(180.0 in r for r in got) and not any(-180.0 in r for r in got)
+
+
+PENTAGON = 2305843558969507839
+
+
+def test_sweep_of_a_pentagon(spark, tmp_path):
+    got = agree(spark, write(tmp_path, events=around(spark, PENTAGON)), "axis_sweep")
+    assert any(PENTAGON in r for r in got)
