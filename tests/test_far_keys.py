@@ -116,3 +116,8 @@ PENTAGON = 2305843558969507839
 def test_sweep_of_a_pentagon(spark, tmp_path):
     got = agree(spark, write(tmp_path, events=around(spark, PENTAGON)), "axis_sweep")
     assert any(PENTAGON in r for r in got)
+
+
+@pytest.mark.parametrize("name", ["axis_sweep_by_parent", "lookup_table_sink"])
+def test_sweep_by_parent_of_a_pentagon(spark, tmp_path, name):
+    agree(spark, write(tmp_path, events=around(spark, PENTAGON)), name)
