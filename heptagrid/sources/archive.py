@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, mono
 from ..operators import ranges as R
+from ..staging import staged
 
 COMPRESSIONS = ("none", "ranges")
 ELLIPSOID = {"name": "wgs84", "semimajor_axis": 6378137.0, "inverse_flattening": 298.257223563}
@@ -48,10 +49,11 @@ def write_archive(
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         raise FileExistsError(path)
-    number = mono.to_mono(id_, level)
+    # written once, as what follows reads it many times; checks of numbers made in place took several times as long
+    rows = staged(df.select(mono.to_mono(id_, level).alias("mono"), id_.alias("cell"), *variables), "rows")
+    number, id_ = F.col("mono"), F.col("cell")
     fits = id_.isNotNull() & (codec.resolution(id_) == level) & (mono.is_slot(number, level) if slots else mono.is_valid(number, level))
-    rows = df.select(number.alias("mono"), id_.alias("cell"), *variables)
-    bad = df.where(~F.coalesce(fits, F.lit(False))).limit(1).count()
+    bad = rows.where(~F.coalesce(fits, F.lit(False))).limit(1).count()
     if bad or rows.groupBy("mono").count().where("count > 1").limit(1).count():
         raise ValueError("an id is null, repeated, or not a cell of the level")
     kept = rows if compression == "none" or dense_ids else rows.drop("cell")
